@@ -1,7 +1,8 @@
 """Exact deduplication by a 128-bit content hash, smallest id stays, bytes compared inside groups.
 
 Native: DataFrame functions only. Texts never meet in one task: groups are counted on 16-byte hashes, and only texts
-whose hash occurs more than once are compared, by grouping on the text itself, which collapses copies map-side.
+whose hash occurs more than once are compared, by grouping on the text itself, which collapses copies map-side. A bitmap
+of fixed size tells in place which texts may be such; where it fills up, more texts are compared and nothing is lost.
 
 Defined results: null text counts as empty; texts that differ in white-space runs alone are equal; a null doc_id is
 larger than any other; of rows that repeat both id and text exactly one is kept; an empty table gives an empty one;
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm.common import SPACE, join_hot, store, texts
 
+#: Hex digits of a hash that name its bit in the broadcast bitmap: 2**24 bits in 2**18 words, whatever the input's size.
+SLOT_DIGITS = 6
+
 
 def normalised(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("norm", F.regexp_replace("text", SPACE, " "))
@@ -30,10 +34,17 @@ def groups_of(docs: DataFrame) -> DataFrame:
     by_hash = sig.groupBy("h").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     repeated = store(by_hash.where("n > 1"), "exact-repeated")
     # Bytes are compared inside each group: one variant means that all its texts are the same.
+    # Only texts whose hash may be a repeated one leave their task; a text let through by chance is a variant by itself.
+    slot = F.conv(F.substring(F.hex("h"), 1, SLOT_DIGITS), 16, 10).cast("long")
+    words = repeated.select(slot.alias("slot")).groupBy(F.expr("slot >> 6").alias("word"))
+    bitmap = words.agg(F.expr("bit_or(1L << CAST(slot & 63 AS INT))").alias("bits"))
     variants = (
         normalised(docs)
         .select(F.unhex(F.md5("norm")).alias("h"), "norm")
-        .join(repeated.select("h"), "h", "left_semi")
+        .withColumn("slot", slot)
+        .withColumn("word", F.expr("slot >> 6"))
+        .join(F.broadcast(bitmap), "word")
+        .where("(bits >> CAST(slot & 63 AS INT)) & 1 = 1")
         .groupBy("h", "norm")
         .agg(F.count("*").alias("m"))
     )
