@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import exact_dedup, quality_fm, simhash, toxicity
+from vellumspark.llm import exact_dedup, packing, quality_fm, simhash, toxicity
 from vellumspark.llm.common import read_table
 
 
@@ -26,12 +26,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.contract(read_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.contract(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_fm": op1_quality_fm,
         "op4_toxicity": op4_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
+        "op8_packing": op8_packing,
     }
 
 
