@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import exact_dedup, packing, quality_fm, simhash, toxicity
+from vellumspark.llm import exact_dedup, packing, quality_fm, simhash, toxicity, warc
 from vellumspark.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.contract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_fm": op1_quality_fm,
         "op4_toxicity": op4_toxicity,
+        "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_packing": op8_packing,
