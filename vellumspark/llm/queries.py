@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import exact_dedup, packing, quality_fm, simhash, toxicity, warc
+from vellumspark.llm import exact_dedup, packing, quality_fm, simhash, tool_calls, toxicity, warc
 from vellumspark.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.contract(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_fm": op1_quality_fm,
+        "op2_tool_calls": op2_tool_calls,
         "op4_toxicity": op4_toxicity,
         "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
@@ -46,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op2_tool_calls": tool_calls.SQL, "op6_exact_dedup": exact_dedup.SQL}
