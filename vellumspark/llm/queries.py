@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import exact_dedup, packing, quality_fm, simhash, tool_calls, toxicity, warc
+from vellumspark.llm import exact_dedup, packing, piece_viterbi, quality_fm, simhash, tool_calls, toxicity, warc
 from vellumspark.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.contract(read_table(spark, sf_dir, "documents"))
 
 
+def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_viterbi.encode(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_fm": op1_quality_fm,
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_packing": op8_packing,
+        "op9_piece_viterbi": op9_piece_viterbi,
     }
 
 
