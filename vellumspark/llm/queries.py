@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import exact_dedup, packing, piece_viterbi, quality_fm, simhash, tool_calls, toxicity, warc
+from vellumspark.llm import exact_dedup, katz, packing, piece_viterbi, quality_fm, simhash, tool_calls, toxicity, warc
 from vellumspark.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read_table(spark, sf_dir, "documents"))
+
+
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.contract(read_table(spark, sf_dir, "conversations"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": op7_simhash,
         "op8_packing": op8_packing,
         "op9_piece_viterbi": op9_piece_viterbi,
+        "op10_katz": op10_katz,
     }
 
 
