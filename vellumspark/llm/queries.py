@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import exact_dedup, katz, packing, piece_viterbi, quality_fm, simhash, tool_calls, toxicity, warc
+from vellumspark.llm import exact_dedup, katz, packing, piece_viterbi, quality_fm, simhash, tool_calls, toxicity, warc, webp
 from vellumspark.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.contract(read_table(spark, sf_dir, "conversations"))
 
 
+def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_fm": op1_quality_fm,
         "op2_tool_calls": op2_tool_calls,
+        "op3_webp": op3_webp,
         "op4_toxicity": op4_toxicity,
         "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
