@@ -91,3 +91,14 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFra
     near = rows.join(F.broadcast(hot), key)
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key)
     return near.unionByName(far)
+
+
+def keep_named(docs: DataFrame, names: DataFrame, text: Column) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, SHA-256 of ``text``) is among ``names`` (doc_id, sha), one for each name.
+
+    Rows that repeat a name are reduced by a deduplication that needs no exchange beyond that of the join.
+    """
+    names = names.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
+    named = docs.withColumns({"_id": F.col("doc_id"), "_sha": F.unhex(F.sha2(text, 256))})
+    on = named["_id"].eqNullSafe(names["_id"]) & (named["_sha"] == names["_sha"])
+    return named.join(names, on, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")

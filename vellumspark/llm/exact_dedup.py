@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import SPACE, join_hot, store, texts
+from vellumspark.llm.common import SPACE, join_hot, keep_named, store, texts
 
 #: Hex digits of a hash that name its bit in the broadcast bitmap: 2**24 bits in 2**18 words, whatever the input's size.
 SLOT_DIGITS = 6
@@ -74,15 +74,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Dropped rows are named by (doc_id, SHA-256). Rows that repeat id and text share that name; of these one is left by
-    a deduplication on the name, which needs no exchange beyond that of the join.
+    Rows are named by id and SHA-256 of the normalised text; of rows that repeat both, one is left.
     """
     verdict = store(groups_of(docs), "exact-verdict")
-    names = verdict.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256)
-    named = docs.withColumns({"_id": F.col("doc_id"), "_sha": sha})
-    on = named["_id"].eqNullSafe(names["_id"]) & (named["_sha"] == names["_sha"])
-    return named.join(names, on, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    names = verdict.where("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    return keep_named(docs, names, F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
 
 
 SQL = r"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import LOWER, join_hot, store, texts
+from vellumspark.llm.common import LOWER, join_hot, keep_named, store, texts
 from vellumspark.llm.components import components
 
 #: Bits of a fingerprint that may differ, and the bytes that two such fingerprints share at least.
@@ -52,15 +52,15 @@ def fingerprint(text: str, words: int) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(starts)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp (long) for every row."""
+def fingerprints(docs: DataFrame, widths: tuple[int, ...] = (5,)) -> DataFrame:
+    """doc_id, sha (of the text), and fps (one long for each shingle width) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [[fingerprint(x.as_py(), k) for k in widths] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sha", "fps"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(run, "doc_id long, sha binary, fps array<long>")
 
 
 def _byte(column: str, position: int):
@@ -68,7 +68,7 @@ def _byte(column: str, position: int):
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different fingerprints (column fp) within MAX_BITS of each other, each once."""
+    """Pairs (family, a, b) of different fingerprints (family, fp) within MAX_BITS of each other, each once."""
     combos = list(combinations(range(8), LEAST_SHARED))
     keys = []
     for k, positions in enumerate(combos):
@@ -76,7 +76,7 @@ def links(distinct: DataFrame) -> DataFrame:
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(_byte("fp", p))
         keys.append(key)
-    index = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    index = distinct.select("family", "fp", F.explode(F.array(*keys)).alias("key"))
     left, right = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     # the first four shared positions name the one key under which the pair is reported
@@ -86,23 +86,53 @@ def links(distinct: DataFrame) -> DataFrame:
     first = [next(i for i, c in enumerate(combos) if all(m >> p & 1 for p in c)) if bin(m).count("1") >= LEAST_SHARED else -1 for m in range(256)]
     mine = F.element_at(F.array(*[F.lit(x) for x in first]), mask + 1) == F.shiftright("key", 8 * LEAST_SHARED)
     return (
-        left.join(right, "key")
+        left.join(right, ["family", "key"])
         .where((F.col("a") < F.col("b")) & (tally >= LEAST_SHARED) & (F.bit_count(differ) <= MAX_BITS) & mine)
-        .select("a", "b")
+        .select("family", "a", "b")
     )
 
 
-def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links, itself included) for every row."""
-    marked = store(fingerprints(docs, words), "simhash")
-    classes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
-    roots = components(links(classes.select("fp")))
-    placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = store(placed.join(least, "root").select("fp", "n", "component_id"), "simhash-components")
-    return join_hot(marked, of_class, "fp", "n").select("doc_id", "fp", "component_id")
+def near_dedup(docs: DataFrame, widths: tuple[int, ...] = (5,)) -> DataFrame:
+    """doc_id, sha, uid, fps, root of every row: rows linked by a fingerprint of any width have one root (a uid)."""
+    marked = store(fingerprints(docs, widths).withColumn("uid", F.monotonically_increasing_id()), "simhash")
+    each = marked.select("uid", F.posexplode("fps").alias("family", "fp"))
+    classes = store(each.groupBy("family", "fp").agg(F.min("uid").alias("head"), F.count("*").alias("n")), "simhash-classes")
+    pairs = store(links(classes), "simhash-links")
+    # nodes are the first rows of classes; a row joins the classes of its other fingerprints to that of its first
+    heads = classes.select("family", "fp", "head")
+    edges = (
+        pairs.join(heads.select("family", F.col("fp").alias("a"), F.col("head").alias("x")), ["family", "a"])
+        .join(heads.select("family", F.col("fp").alias("b"), F.col("head").alias("y")), ["family", "b"])
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    key = F.struct("family", "fp")
+    keyed = classes.select(key.alias("k"), "head", "n")
+    if len(widths) > 1:
+        own = store(each.select("uid", key.alias("k")), "simhash-each")
+        copies = join_hot(own, keyed.where("n > 1"), "k", "n").where("uid <> head")
+        roots = components(edges.unionByName(copies.select(F.col("uid").alias("a"), F.col("head").alias("b"))))
+        return marked.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    first = marked.withColumn("k", F.struct(F.lit(0).alias("family"), F.col("fps")[0].alias("fp")))
+    of_class = keyed.join(components(edges).withColumnRenamed("node", "head"), "head", "left").select("k", "n", F.coalesce("root", "head").alias("root"))
+    return join_hot(first, store(of_class, "simhash-roots"), "k", "n").select("doc_id", "sha", "uid", "fps", "root")
+
+
+def least_ids(rooted: DataFrame) -> DataFrame:
+    """root, component_id (the smallest doc_id), keep_uid (its first row), n."""
+    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "uid", "doc_id")
+    return rooted.groupBy("root").agg(F.min(first).alias("f"), F.count("*").alias("n")).select("root", "n", F.col("f.doc_id").alias("component_id"), F.col("f.uid").alias("keep_uid"))
 
 
 def contract(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
-    return near_dedup(docs, words).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = store(near_dedup(docs, (words,)), "simhash-rooted")
+    least = store(least_ids(rooted), "simhash-least")
+    found = join_hot(rooted, least, "root", "n")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group (its smallest doc_id), with all their columns."""
+    rooted = store(near_dedup(docs, widths), "simhash-rooted")
+    kept = rooted.join(least_ids(rooted).select(F.col("keep_uid").alias("uid")), "uid", "left_semi")
+    return keep_named(docs, kept.select("doc_id", "sha"), F.coalesce(F.col("text").cast("string"), F.lit("")))
