@@ -31,8 +31,8 @@ from vellumspark.llm.common import LOWER, partitions, store, texts
 CAPACITY = 4096
 UNIT = 8
 END_ID = 2
-#: Chunks whose ids a Python worker keeps; bounds its memory.
-CACHE = 500_000
+#: Chunks of each of the two generations that a Python worker keeps; bounds its memory.
+CACHE = 600_000
 #: The knapsack stops pricing at this gain, or after so many columns: the plan stays valid, only less tight.
 GAIN, COLUMNS = 1e-4, 4000
 #: Stands between chunks that are encoded together. One code point that is one token and merges with nothing around it.
@@ -68,6 +68,7 @@ class ChunkEncoder:
         self.bare = Tokenizer.from_str(json.dumps(bare))
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         alone = self._ids(self.tokenizer, [_MARK])[0]
         latin = "x" + "".join(map(chr, range(0xDF, 0x100))).replace("÷", "")
         same = self._ids(self.tokenizer, [latin])[0] == self._ids(self.bare, [self._mapped(latin)])[0]
@@ -108,10 +109,13 @@ class ChunkEncoder:
         """Little-endian 32-bit ids of each text."""
         split = [x.encode().translate(LOWER).decode().replace("\n", " ").split(" ") for x in batch]
         new = {c for parts in split for c in parts if c not in self.cache}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
+        if len(self.cache) + len(new) > CACHE:  # what is used again moves from the older generation to the new one
+            self.before, self.cache = self.cache, {}
             new = {c for parts in split for c in parts}
-        self._learn(list(new))
+        before = self.before
+        again = new & before.keys()
+        self.cache.update((c, before[c]) for c in again)
+        self._learn(list(new - again))
         get = self.cache.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
