@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
 
-def queries() -> dict:
-    return {}
+from vellumspark.plans.base import Query
 
+MODULES = ("verification",)
 
-def oracle_sql() -> dict:
-    return {}
+
+def _books() -> list:
+    return [importlib.import_module(f"vellumspark.plans.{m}").BOOK for m in MODULES]
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for book in _books() for name, query in book.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for book in _books() for name, sql in book.sql.items()}
