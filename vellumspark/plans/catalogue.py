@@ -6,7 +6,7 @@ import importlib
 
 from vellumspark.plans.base import Query
 
-MODULES = ("verification",)
+MODULES = ("verification", "metrics", "licensing", "segments")
 
 
 def _books() -> list:
