@@ -43,7 +43,7 @@ def ordered(items: DataFrame, by: str, order: str) -> DataFrame:
 
 def folder_number(name: Column) -> Column:
     """``03 - A Paper`` -> 3, else null."""
-    return F.regexp_extract(name, r"^(\d+) - ", 1).cast("int")
+    return F.regexp_extract(name, r"^(\d+) - ", 1).try_cast("int")
 
 
 def unnumbered(name: Column) -> Column:
