@@ -6,7 +6,7 @@ import importlib
 
 from vellumspark.plans.base import Query
 
-MODULES = ("verification", "metrics", "licensing", "segments", "timelines", "collections")
+MODULES = ("verification", "metrics", "licensing", "segments", "timelines", "collections", "matching")
 
 
 def _books() -> list:
