@@ -32,7 +32,7 @@ CAPACITY = 4096
 UNIT = 8
 END_ID = 2
 #: Chunks of each of the two generations that a Python worker keeps; bounds its memory.
-CACHE = 600_000
+CACHE = 300_000
 #: The knapsack stops pricing at this gain, or after so many columns: the plan stays valid, only less tight.
 GAIN, COLUMNS = 1e-4, 4000
 #: Stands between chunks that are encoded together. One code point that is one token and merges with nothing around it.
