@@ -6,7 +6,7 @@ import importlib
 
 from vellumspark.plans.base import Query
 
-MODULES = ("verification", "metrics", "licensing", "segments", "timelines", "collections", "matching", "layouts")
+MODULES = ("verification", "metrics", "licensing", "segments", "timelines", "collections", "matching", "layouts", "scripts", "inputs")
 
 
 def _books() -> list:
