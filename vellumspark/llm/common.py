@@ -63,7 +63,7 @@ def delete(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -26,11 +26,13 @@ gives an empty one; extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +41,31 @@ from vellumspark.llm.common import LOWER, crc_mod, partitions, store, sweep, tex
 #: Discounts apply to counts up to K. Contexts of more than 1/HOT of the tokens are dealt over all buckets.
 K, HOT = 5, 4096
 #: Bytes of text in a block, and entries of a bucket, about.
-BLOCK, BUCKET = 6 << 20, 1_000_000
+BLOCK, BUCKET = 5 << 20, 1_000_000
 END = b" "  # no word holds a blank
 
 
 def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers, byte plane by byte plane: sorted or small ones compress well so."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers, byte plane by byte plane and compressed, behind their kind and number."""
+    if x.dtype == np.float64:
+        kind = 9
+    elif x.dtype == np.uint64 or len(x) and (x.min() < -(2**31) or x.max() >= 2**31):
+        kind = 8
+    else:
+        kind, x = 4, x.astype(np.int32)
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, kind & 12).T).tobytes()
+    return struct.pack("<BI", kind, len(x)) + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def flat(raw: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+    """The numbers again; those that fit come as 32-bit ones."""
+    own, n = struct.unpack_from("<BI", raw)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[5:]), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(data.reshape(own & 12, -1).T).view({4: np.int32, 8: kind, 9: np.float64}[own]).reshape(-1)
+
+
+def count_of(raw: bytes) -> int:
+    return struct.unpack_from("<BI", raw)[1]
 
 
 # -- the model ---------------------------------------------------------------------------------------------------------
@@ -106,7 +122,11 @@ def alphas(total: np.ndarray, low: np.ndarray, mass: np.ndarray, d: np.ndarray)
 
 # -- blocks ------------------------------------------------------------------------------------------------------------
 
-BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, words binary, n_words long"
+BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, words binary, places binary, n_tokens long, n_words long"
+
+_BLOCKS = pa.schema([
+    ("block_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("lengths", "tokens", "words", "places")), ("n_tokens", pa.int64()), ("n_words", pa.int64()),
+])
 
 
 def blocks(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -123,20 +143,22 @@ def blocks(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         def block() -> pa.RecordBatch:
             flat_tokens = np.concatenate(tokens)
             often = np.argsort(-np.bincount(flat_tokens, minlength=len(vocabulary)), kind="stable")
-            place = np.empty(len(often), np.int64)
+            place = np.empty(len(often), np.int32)
             place[often] = np.arange(len(often))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))[often]
-            columns = [[part << 24 | made], [ids], [held], [planes(np.array(lengths, np.int64))], [planes(place[flat_tokens])], [hashes.tobytes()], [len(often)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block_id", "doc_ids", "held", "lengths", "tokens", "words", "n_words"])
+            by_hash = np.argsort(hashes)
+            places = np.empty(len(often), np.int32)
+            places[by_hash] = np.arange(len(often))
+            columns = [[part << 24 | made], [ids], [held], [planes(np.array(lengths, np.int64))], [planes(place[flat_tokens])], [planes(hashes[by_hash])], [planes(places)], [len(flat_tokens)], [len(often)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS)], schema=_BLOCKS)
 
         for batch in batches:
             for doc_id, text, out in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-                for w in set(words) - vocabulary.keys():
+                for w in set(words).difference(vocabulary):
                     vocabulary[w] = len(vocabulary)
                 words.append(END)
-                tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+                tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id)
                 held.append(out)
                 lengths.append(len(words))
@@ -156,31 +178,22 @@ class Block:
 
     def __init__(self, row: dict):
         self.id, self.doc_ids, self.held = row["block_id"], row["doc_ids"], row["held"]
-        self.lengths, self.tokens = flat(row["lengths"]), flat(row["tokens"])
-        self.words, self.n_words = row["words"], row["n_words"]
+        self.lengths, self.tokens = flat(row["lengths"]).astype(np.int64), flat(row["tokens"])
+        self.n_words = row["n_words"]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.learn = np.repeat(np.array([h is False for h in self.held]), self.lengths)
         self.lead = np.roll(self.tokens, 1)
         self.lead[self.starts] = -1
+        self.places = flat(row["places"])
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, their buckets, and the order that has the words of a bucket together."""
-        hashes = np.frombuffer(self.words, np.uint64)
-        kind = (hashes % np.uint64(buckets)).astype(np.int64)
-        return hashes, kind, np.lexsort((hashes, kind))
-
-    def known(self, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Global id and training count of each local word, from the answers of all buckets."""
-        order = self.by_bucket(buckets)[2]
+    def known(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Global id and training count of each local word, from the answers of all buckets, which part the hashes' range."""
         parts = sorted((a for a in answers if a["kind"] == "word"), key=lambda a: a["bucket"])
-        ids, counts = np.empty(self.n_words, np.int64), np.empty(self.n_words, np.int64)
-        ids[order] = np.concatenate([flat(a["x"]) for a in parts])
-        counts[order] = np.concatenate([flat(a["y"]) for a in parts])
-        return ids, counts
+        return tuple(np.concatenate([flat(a[c]) for a in parts])[self.places] for c in ("x", "y"))
 
     def pairs(self, ids: np.ndarray, counts: np.ndarray, buckets: int, hot_from: float) -> tuple[np.ndarray, ...]:
         """Distinct pairs: local context and word, global ones, hot, bucket, order by bucket; and each token's pair."""
-        keys, of = np.unique((self.lead + 1) * (self.n_words + 1) + self.tokens, return_inverse=True)
+        keys, of = np.unique((self.lead.astype(np.int64) + 1) * (self.n_words + 1) + self.tokens, return_inverse=True)
         h, w = keys // (self.n_words + 1) - 1, keys % (self.n_words + 1)
         gh, gw = np.where(h < 0, 0, ids[h]), ids[w]
         hot = (h < 0) | (counts[h] >= hot_from)
@@ -209,9 +222,10 @@ def ask_words(table: DataFrame, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 block = Block(row)
                 counts = np.bincount(block.tokens[block.learn], minlength=block.n_words).astype(np.int64)
-                hashes, kind, order = block.by_bucket(buckets)
-                hashes, counts = hashes[order], counts[order]
-                rows = [(b, block.id, planes(hashes[i:j]), planes(counts[i:j]), None, None) for b, i, j in _cuts(kind[order])]
+                hashes, ranked = flat(row["words"], np.uint64), np.empty(block.n_words, np.int64)
+                ranked[block.places] = counts
+                kind = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                rows = [(b, block.id, planes(hashes[i:j]), planes(ranked[i:j]), None, None) for b, i, j in _cuts(kind)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
 
     return table.mapInArrow(run, ASKED)
@@ -253,10 +267,10 @@ def with_answers(table: DataFrame, *given: DataFrame) -> DataFrame:
     for g in given:
         own = g.where("block_id IS NOT NULL").select("block_id", F.struct("kind", "bucket", "x", "y", "z").alias("a"))
         answers = own if answers is None else answers.unionByName(own)
-    return table.join(answers.groupBy("block_id").agg(F.collect_list("a").alias("answers")), "block_id")
+    return table.drop("words").join(answers.groupBy("block_id").agg(F.collect_list("a").alias("answers")), "block_id")
 
 
-def ask_pairs(answered: DataFrame, word_buckets: int, buckets: int, hot_from: float) -> DataFrame:
+def ask_pairs(answered: DataFrame, buckets: int, hot_from: float) -> DataFrame:
     """Distinct pairs of each block by bucket: context, word, training count, training count of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +278,12 @@ def ask_pairs(answered: DataFrame, word_buckets: int, buckets: int, hot_from: fl
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = Block(row)
-                ids, counts = block.known(row["answers"], word_buckets)
+                ids, counts = block.known(row["answers"])
                 _, w, gh, gw, hot, kind, order, of = block.pairs(ids, counts, buckets, hot_from)
                 times = np.bincount(of[block.learn], minlength=len(gh)).astype(np.int64)
                 columns = [x[order] for x in (np.where(hot, -gh - 1, gh), gw, times, counts[w])]
-                rows = [(b, block.id, *(planes(c[i:j]) for c in columns)) for b, i, j in _cuts(kind[order])]
+                steps = lambda c: np.diff(c, prepend=c.dtype.type(0))  # noqa: E731  # contexts come in runs
+                rows = [(b, block.id, planes(steps(columns[0][i:j])), *(planes(c[i:j]) for c in columns[1:])) for b, i, j in _cuts(kind[order])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
 
     return answered.mapInArrow(run, ASKED)
@@ -284,11 +299,11 @@ def answer_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         bucket = rows[0]["bucket"]
-        h = np.concatenate([flat(r["x"]) for r in rows])  # below 0: hot
-        w = np.concatenate([flat(r["y"]) for r in rows])
+        h = np.concatenate([np.cumsum(flat(r["x"]), dtype=np.int64) for r in rows])  # below 0: hot
+        w = np.concatenate([flat(r["y"]) for r in rows]).astype(np.int64)
         times = np.concatenate([flat(r["z"]) for r in rows])
         of_word = np.concatenate([flat(r["u"]) for r in rows])
-        sizes = [len(r["x"]) // 8 for r in rows]
+        sizes = [count_of(r["x"]) for r in rows]
         order = np.lexsort((w, h))
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -307,7 +322,7 @@ def answer_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
         out = [(bucket, None, "table", planes(uh[seen]), planes(uw[seen]), planes(total[seen]), [int(total.sum()), int(seen.sum()), *_histogram(total[seen])])]
         hot = uh[heads] < 0
         if hot.any():
-            out.append((bucket, None, "hot", planes(-uh[heads][hot] - 1), low[hot].astype(np.int64).tobytes(), mass[hot].tobytes(), None))
+            out.append((bucket, None, "hot", planes(-uh[heads][hot] - 1), planes(low[hot].reshape(-1)), planes(mass[hot]), None))
         sign = np.where((low.sum(1) == 0) & ~hot, -1, 1)[context]
         at = 0
         for row, n in zip(rows, sizes):
@@ -325,17 +340,19 @@ def answer_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(answered: DataFrame, word_buckets: int, buckets: int, hot_from: float, unigrams: Unigrams, d: np.ndarray, ends: int, hot: dict) -> DataFrame:
+def score_blocks(answered: DataFrame, buckets: int, hot_from: float, unigrams: Unigrams, d: np.ndarray, ends: int, hot: dict) -> DataFrame:
     """Scores of every row. hot: context -> (n_1 .. n_K, mass); ends: training rows; d: discounts of pairs."""
-    fixed = answered.sparkSession.sparkContext.broadcast((unigrams, d, hot))
+    keys = np.array(sorted(hot), np.int64)
+    tables = (keys, np.array([hot[k][0] for k in keys.tolist()], np.int64).reshape(-1, K), np.array([hot[k][1] for k in keys.tolist()]))
+    fixed = answered.sparkSession.sparkContext.broadcast((unigrams, d, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni, d2, hots = fixed.value
+        uni, d2, (hot_keys, hot_low, hot_mass) = fixed.value
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = Block(row)
-                ids, counts = block.known(row["answers"], word_buckets)
+                ids, counts = block.known(row["answers"])
                 h, w, gh, _, is_hot, kind, order, of = block.pairs(ids, counts, buckets, hot_from)
                 parts = sorted((a for a in row["answers"] if a["kind"] == "pair"), key=lambda a: a["bucket"])
                 r = np.empty(len(h), np.int64)
@@ -343,21 +360,21 @@ def score_blocks(answered: DataFrame, word_buckets: int, buckets: int, hot_from:
                 whole = r < 0
                 r = np.abs(r)
                 total = np.where(h < 0, ends, counts[h])
-                # what alpha needs, for each pair, by default of a context that was never seen
-                low, mass = np.zeros((len(h), K), np.int64), np.zeros(len(h))
+                alpha = np.ones(len(h))  # of a context that was never seen
                 asks = order[(r[order] == 0) & ~is_hot[order]]
-                step = (np.diff(gh[asks], prepend=-1) != 0) | (np.diff(kind[asks], prepend=-1) != 0)
                 if len(asks):
+                    new = (np.diff(gh[asks], prepend=-1) != 0) | (np.diff(kind[asks], prepend=-1) != 0)
                     given_low = np.concatenate([flat(a["y"]).reshape(K, -1).T for a in parts])
-                    given_mass = np.concatenate([flat(a["z"], np.float64) for a in parts])
-                    at = np.cumsum(step) - 1
-                    low[asks], mass[asks] = given_low[at], given_mass[at]
-                for k2 in np.flatnonzero(is_hot):
-                    n, m = hots.get(int(gh[k2]), ((0,) * K, 0.0))
-                    low[k2], mass[k2] = n, m
-                    whole[k2] = not any(n)
-                backed = alphas(total, low, mass, d2) * uni.p(counts[w])
-                p = np.where(r > 0, pair_p(r, np.maximum(total, 1), d2, whole), backed)
+                    given_mass = np.concatenate([flat(a["z"]) for a in parts])
+                    alpha[asks] = alphas(total[asks][new], given_low, given_mass, d2)[np.cumsum(new) - 1]
+                if is_hot.any() and len(hot_keys):
+                    mine = np.flatnonzero(is_hot)
+                    spot = np.minimum(np.searchsorted(hot_keys, gh[mine]), len(hot_keys) - 1)
+                    mine, spot = mine[hot_keys[spot] == gh[mine]], spot[hot_keys[spot] == gh[mine]]
+                    used, first, back = np.unique(spot, return_index=True, return_inverse=True)
+                    alpha[mine] = alphas(total[mine][first], hot_low[used], hot_mass[used], d2)[back]
+                    whole[mine] = (hot_low[used].sum(1) == 0)[back]
+                p = np.where(r > 0, pair_p(r, np.maximum(total, 1), d2, whole), alpha * uni.p(counts[w]))
                 known = counts[block.tokens] > 0
                 base = np.log10((counts[block.tokens] + 1) / (uni.total + uni.types + 1))
                 columns = [
@@ -380,7 +397,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     table = store(blocks(docs, modulus, remainder), "katz-blocks")
-    sums = table.agg(F.sum("n_words").alias("w"), F.sum(F.octet_length("tokens") / 8).alias("t")).first()
+    sums = table.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
     if not sums["w"]:
         return spark.createDataFrame([], SCORES)
     word_buckets = max(partitions(spark), int(sums["w"]) // BUCKET)
@@ -389,18 +406,17 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     unigrams = Unigrams.of(total, types, of_counts)
     hot_from = max(64.0, total / HOT)
     sweep(spark)
-    buckets = max(partitions(spark), int(sums["t"]) // (2 * BUCKET))
-    asked = ask_pairs(with_answers(table, words), word_buckets, buckets, hot_from)
+    buckets = max(partitions(spark), int(sums["t"]) // BUCKET)
+    asked = ask_pairs(with_answers(table, words), buckets, hot_from)
     pairs = store(answer_pairs(asked, unigrams), "katz-pairs")
     _, _, *of_pairs = _stats(pairs)
     del asked
     sweep(spark)
     hot: dict[int, tuple] = {}
-    ends = 0
     for row in pairs.where("kind = 'hot'").select("x", "y", "z").toLocalIterator():  # at most HOT + 1 contexts a bucket
-        for key, n, m in zip(flat(row["x"]).tolist(), np.frombuffer(row["y"], np.int64).reshape(-1, K), np.frombuffer(row["z"])):
+        for key, n, m in zip(flat(row["x"]).tolist(), flat(row["y"]).astype(np.int64).reshape(-1, K), flat(row["z"])):
             had = hot.get(key, (np.zeros(K, np.int64), 0.0))
             hot[key] = (had[0] + n, had[1] + float(m))
     hot = {key: (tuple(int(x) for x in n), m) for key, (n, m) in hot.items()}
     ends = int(table.select(F.explode("held").alias("h")).where("NOT h").count())
-    return score_blocks(with_answers(table, words, pairs), word_buckets, buckets, hot_from, unigrams, discounts(of_pairs), ends, hot)
+    return score_blocks(with_answers(table, words, pairs), buckets, hot_from, unigrams, discounts(of_pairs), ends, hot)
