@@ -10,7 +10,7 @@ smallest xxhash64 of their id), so its cost doesn't grow with the table; every d
 
 Defined results: null text counts as empty, and an empty text gets a score like any other; labels whose quality is null
 don't count; several labels of one document are averaged; with no usable label, or labels of one class only, every
-score is the class's rate (0.5 with none); a null doc_id can't be labelled, and is not held out.
+score is near that class (0.5 with none); a null doc_id can't be labelled, and is not held out.
 """
 
 from __future__ import annotations
@@ -110,8 +110,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     rng = np.random.default_rng(seed)
     linear, factors = np.zeros(SIZE, np.float32), (rng.standard_normal((SIZE, FACTORS)) * 0.02).astype(np.float32)
     positive = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < positive < 1:
-        return Model(0.0 if not len(labels) else 8.0 * (2 * positive - 1), linear, np.zeros_like(factors))
+    if not len(labels) or not 0 < positive < 1:
+        return Model(8.0 * (2 * positive - 1), linear, np.zeros_like(factors))
     weight = np.where(labels > 0.5, positive**-0.5, (1 - positive) ** -0.5)
     weight /= weight.mean()
     bias, g_bias = float(np.log(positive / (1 - positive))), 1e-3
