@@ -81,15 +81,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of ``rows`` (many for each key) with ``groups`` (one row for each key, ``size`` counts its rows).
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` (many for each key) with ``groups`` (one row for each key, ``size`` counts its rows).
 
     The HOT_KEYS largest groups are broadcast and their rows stay where they are; the rest, none of which can hold
     more than 1/HOT_KEYS of all rows, is joined by a shuffle. ``rows`` is read twice: pass a stored frame.
     """
     hot = groups.where(F.col(size) > 1).orderBy(F.col(size).desc(), F.col(key)).limit(HOT_KEYS)
     near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key, how)
     return near.unionByName(far)
 
 

@@ -56,14 +56,18 @@ def groups_of(docs: DataFrame) -> DataFrame:
         marked = sig.join(collided.withColumn("c", F.lit(True)), "h", "left")
         split = store(marked.withColumn("g", F.when(F.col("c"), F.concat("h", "sha")).otherwise(F.col("h"))).drop("c"), "exact-split")
         repeated = split.groupBy("g").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").withColumnRenamed("g", "h")
-    # Rows of the (few) repeated hashes look their group up; all others are their own group and are never shuffled
-    # with a key of their group: the left side of a hot group stays in place.
-    many = join_hot(split, repeated.withColumnRenamed("h", "g"), "g", "n")
-    alone = split.join(repeated.select(F.col("h").alias("g")), "g", "left_anti")
-    columns = ["doc_id", "uid", F.lower(F.hex("sha")).alias("text_sha256")]
-    return many.select(
-        *columns, F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("uid") == F.col("first.uid")).alias("kept")
-    ).unionByName(alone.select(*columns, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
+    # Rows of the largest groups find theirs in a broadcast table and stay in place; the others are joined by a shuffle,
+    # in which no group is large. A row without a repeated hash is its own group.
+    found = join_hot(split, repeated.withColumnRenamed("h", "g"), "g", "n", "left")
+    alone = F.col("n").isNull()
+    return found.select(
+        "doc_id",
+        "uid",
+        F.lower(F.hex("sha")).alias("text_sha256"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("uid") == F.col("first.uid"))).alias("kept"),
+    )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
