@@ -102,3 +102,16 @@ def keep_named(docs: DataFrame, names: DataFrame, text: Column) -> DataFrame:
     named = docs.withColumns({"_id": F.col("doc_id"), "_sha": F.unhex(F.sha2(text, 256))})
     on = named["_id"].eqNullSafe(names["_id"]) & (named["_sha"] == names["_sha"])
     return named.join(names, on, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+
+
+def give_back() -> None:
+    """Return a Python worker's free memory to the system, so that it doesn't add up over the stages it serves."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)

@@ -15,6 +15,7 @@ once for each row; an empty table gives an empty one; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
 import struct
 import zlib
@@ -26,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import LOWER, partitions, store, texts
+from vellumspark.llm.common import LOWER, give_back, partitions, store, texts
 
 CAPACITY = 4096
 UNIT = 8
 END_ID = 2
 #: Chunks of each of the two generations that a Python worker keeps; bounds its memory.
-CACHE = 300_000
+CACHE = 400_000
 #: The knapsack stops pricing at this gain, or after so many columns: the plan stays valid, only less tight.
-GAIN, COLUMNS = 1e-4, 4000
+GAIN, COLUMNS = 1e-4, 6000
+#: Weight of the steady duals in pricing.
+SMOOTH = 0.9
 #: Stands between chunks that are encoded together. One code point that is one token and merges with nothing around it.
 _MARK = "★"
 
@@ -59,9 +62,11 @@ class ChunkEncoder:
 
     _LATIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int):
         from tokenizers import Tokenizer
 
+        self.room = room
+
         self.tokenizer = Tokenizer.from_file(path)
         parts = json.loads(self.tokenizer.to_str())
         bare = parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
@@ -69,6 +74,7 @@ class ChunkEncoder:
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         alone = self._ids(self.tokenizer, [_MARK])[0]
         latin = "x" + "".join(map(chr, range(0xDF, 0x100))).replace("÷", "")
         same = self._ids(self.tokenizer, [latin])[0] == self._ids(self.bare, [self._mapped(latin)])[0]
@@ -82,16 +88,24 @@ class ChunkEncoder:
         return [x.ids for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        latin: list[tuple[str, str]] = []
-        plain, odd = [], []
+        """Fill the cache. Latin chunks are a stem and a tail; each stem and each tail is encoded once."""
+        latin, plain, odd, stems = [], [], [], set()
         for c in chunks:
-            if self.mark is None or _MARK in c:
+            if c.isascii() and c.isalpha():
+                stems.add(c)
+            elif self.mark is None or _MARK in c:
                 odd.append(c)
             elif m := self._LATIN.fullmatch(c):
-                latin.append((c, f"{m[1] if c.isascii() else self._mapped(m[1])} {m[2]}"))
+                latin.append((c, m[1], m[2]))
+                if m[1] not in self.cache:
+                    stems.add(m[1])
             else:
-                plain.append((c, c))
-        for tokenizer, mark, pairs in ((self.bare, self._mapped(_MARK), latin), (self.tokenizer, _MARK, plain)):
+                plain.append(c)
+        if self.mark is None:
+            odd += stems
+            stems = set()
+        mapped = ((c, c if c.isascii() else self._mapped(c)) for c in stems)
+        for tokenizer, mark, pairs in ((self.bare, self._mapped(_MARK), list(mapped)), (self.tokenizer, _MARK, [(c, c) for c in plain])):
             for at in range(0, len(pairs), 20_000):
                 some = pairs[at : at + 20_000]
                 ids = np.array(self._ids(tokenizer, [f" {mark} ".join([x for _, x in some])])[0], np.uint32)
@@ -100,29 +114,32 @@ class ChunkEncoder:
                     odd += [c for c, _ in some]
                     continue
                 raw, edges = ids.astype("<u4").tobytes(), [-4, *(cuts * 4).tolist(), 4 * len(ids)]
-                for k, (c, _) in enumerate(some):
-                    self.cache[c] = raw[edges[k] + 4 : edges[k + 1]]
+                self.cache.update((c, raw[i + 4 : j]) for (c, _), i, j in zip(some, edges, edges[1:]))
         for c, ids in zip(odd, self._ids(self.tokenizer, odd) if odd else []):
             self.cache[c] = np.array(ids, "<u4").tobytes()
+        for c, stem, tail in latin:
+            if (ids := self.tails.get(tail)) is None:
+                ids = self.tails[tail] = np.array(self._ids(self.tokenizer, [tail])[0], "<u4").tobytes()
+            self.cache[c] = self.cache[stem] + ids
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [x.encode().translate(LOWER).decode().replace("\n", " ").split(" ") for x in batch]
-        new = {c for parts in split for c in parts if c not in self.cache}
-        if len(self.cache) + len(new) > CACHE:  # what is used again moves from the older generation to the new one
-            self.before, self.cache = self.cache, {}
-            new = {c for parts in split for c in parts}
+        new = set().union(*split).difference(self.cache)
+        if len(self.cache) + len(new) > self.room:  # what is used again moves from the older generation to the new one
+            self.before, self.cache, self.tails = self.cache, {}, {"": b""}
+            new = set().union(*split)
         before = self.before
-        again = new & before.keys()
+        again = [c for c in new if c in before]
         self.cache.update((c, before[c]) for c in again)
-        self._learn(list(new - again))
+        self._learn(list(new.difference(again)))
         get = self.cache.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str, room: int = CACHE) -> ChunkEncoder:
+    return ChunkEncoder(path, room)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -143,11 +160,15 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBat
         yield batch.slice(at)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and on demand ids (array<int>)."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, room: int = CACHE, hold: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and on demand ids (array<int>).
+
+    room, hold: chunks in a generation of a worker's cache, and whether it outlives a task. Less of both takes more CPU
+    and less memory; results are the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or tokenizer_path()).encode
+        encode = encoder(path or tokenizer_path(), room).encode
         for batch in (part for whole in batches for part in _slices(whole)):
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
@@ -162,6 +183,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                 columns.append(pa.array([np.frombuffer(r[5], "<i4") for r in rows], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        if not hold:
+            encoder.cache_clear()
+            del encode
+            give_back()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     return texts(docs).mapInArrow(run, schema)
@@ -188,22 +213,49 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np
     return float(best[room]), counts
 
 
+def _pivot(inverse: np.ndarray, step: np.ndarray, out: int) -> None:
+    """The basis inverse after the column with coordinates ``step`` has taken the place ``out``."""
+    row = inverse[out] / step[out]
+    inverse -= np.outer(step, row)
+    inverse[out] = row
+
+
 def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
     """Patterns and their fractional use that cover ``demand`` with the fewest sequences."""
     m = len(sizes)
-    basis = [np.eye(m, dtype=np.int64)[k] * (room // sizes[k]) for k in range(m)]
-    cost = np.ones(m)
-    inverse = np.diag(1.0 / (room // sizes))
-    x = demand / (room // sizes)
+    # The first basis packs the largest pieces first, and fills up with smaller ones, as far as a class lasts. Each such
+    # pattern uses up a class that no later one has, so the columns are triangular.
+    basis, x, left = [np.eye(m, dtype=np.int64)[k] * (room // sizes[k]) for k in range(m)], np.zeros(m), demand.astype(float).copy()
+    cost, inverse = np.ones(m), np.diag(1.0 / (room // sizes))
+    while left.any():
+        free, column = room, np.zeros(m, np.int64)
+        for k in np.flatnonzero(left)[::-1]:
+            column[k] = min(math.ceil(left[k]), free // sizes[k])
+            free -= column[k] * sizes[k]
+        used = np.flatnonzero(column)
+        over = used[(left[used] / column[used]).argmin()]
+        basis[over], x[over] = column, left[over] / column[over]
+        _pivot(inverse, inverse @ column, over)
+        left = left - column * x[over]
+        left[(left < 1e-9) | (np.arange(m) == over)] = 0
+    # Pricing at duals between the current ones and the best so far (at first: each size's share of a sequence) steers
+    # the columns to full patterns; a column that doesn't pay at the current duals is priced again at these.
+    steady, bound = sizes / room, float(demand @ sizes) / room
     for _ in range(COLUMNS):
         dual = cost @ inverse
         if dual.min() < -1e-9:  # more than the demand of a class: a surplus
             column, price = -np.eye(m, dtype=np.int64)[int(dual.argmin())], 0.0
         else:
-            value, column = knapsack(dual, sizes, room)
-            price = 1.0
-            if value <= 1 + GAIN:
+            if float(dual @ demand) <= bound * (1 + GAIN):
                 break
+            price, near = 1.0, SMOOTH * steady + (1 - SMOOTH) * dual
+            value, column = knapsack(near, sizes, room)
+            if (reached := float(near @ demand) / max(1.0, value)) > bound:
+                steady, bound = near / max(1.0, value), reached
+            if dual @ column <= 1 + GAIN:
+                value, column = knapsack(dual, sizes, room)
+                if value <= 1 + GAIN:
+                    break
         step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
@@ -211,9 +263,7 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.n
             break
         x = x - ratio[out] * step
         x[out] = ratio[out]
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
+        _pivot(inverse, step, out)
         basis[out], cost[out] = column, price
     return [(basis[k], float(x[k])) for k in range(m) if cost[k] and x[k] > 1e-9]
 
@@ -298,6 +348,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFram
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("_slot")
 
 
-def contract(docs: DataFrame, path: str | None = None) -> DataFrame:
+def contract(docs: DataFrame, path: str | None = None, room: int = CACHE, hold: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    return pack(store(pieces(docs, path), "pieces"))
+    return pack(store(pieces(docs, path, room=room, hold=hold), "pieces"))

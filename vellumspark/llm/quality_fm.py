@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import LOWER, crc_mod, texts
+from vellumspark.llm.common import LOWER, crc_mod, give_back, texts
 
 BUCKETS = 1 << 13
 FACTORS = 6
@@ -201,5 +201,6 @@ def filter_rows(docs: DataFrame, accept) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([accept(x.as_py() or "") for x in batch.column(at)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

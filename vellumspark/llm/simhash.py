@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import LOWER, join_hot, keep_named, store, texts
+from vellumspark.llm.common import LOWER, give_back, join_hot, keep_named, store, texts
 from vellumspark.llm.components import components
 
 #: Bits of a fingerprint that may differ, and the bytes that two such fingerprints share at least.
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, widths: tuple[int, ...] = (5,)) -> DataFrame:
         for batch in batches:
             found = [[fingerprint(x.as_py(), k) for k in widths] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sha", "fps"])
+        give_back()
 
     return texts(docs).withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(run, "doc_id long, sha binary, fps array<long>")
 
