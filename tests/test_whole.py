@@ -27,3 +27,9 @@ def test_near_duplicates_of_long_texts(spark, tmp_path):
     assert (1, 2) in want and (5, 6) in want and (1, 3) not in want
     got = metrics.near_duplicates(spark, written(spark, tmp_path, rows)).collect()
     assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == want and len(got) == len(want)
+
+
+def test_squashed_reads_the_whole_text(spark, tmp_path):
+    rows = [(1, "Ab-1 " * 300, "en"), (2, "é" * 250 + "Zz", "en"), (3, "", "en"), (4, None, "en")]
+    got = {r["doc_id"]: r["key"] for r in layouts.squashed(spark, written(spark, tmp_path, rows)).collect()}
+    assert got == {1: "ab1" * 300, 2: "zz", 3: "", 4: None}
