@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from vellumspark.operators import verify
 from vellumspark.plans import layouts, metrics
 
 
@@ -33,3 +34,21 @@ def test_squashed_reads_the_whole_text(spark, tmp_path):
     rows = [(1, "Ab-1 " * 300, "en"), (2, "é" * 250 + "Zz", "en"), (3, "", "en"), (4, None, "en")]
     got = {r["doc_id"]: r["key"] for r in layouts.squashed(spark, written(spark, tmp_path, rows)).collect()}
     assert got == {1: "ab1" * 300, 2: "zz", 3: "", 4: None}
+
+
+def test_every_citation_is_judged(spark):
+    rows = spark.createDataFrame(
+        [(1, "Table 1 and Figure 9 show 40."), (2, "Figure 9 and Fig. 8 give 40 and 7."), (3, "Table 1 has 40, Table 2 reports that it falls."), (4, "Figure 9."), (5, "Figure 9, Figure 9 it is."), (6, None)],
+        "id int, sentence string",
+    )
+    figures = spark.createDataFrame([("Table 1", 3), ("Table 2", 4)], "label string, page int")
+    lines = spark.createDataFrame([(3, "of 40 tasks"), (4, "no number")], "page int, line string")
+    got = {r["id"]: (r["sentence"], r["changed"]) for r in verify.check_labels(rows, figures, lines).collect()}
+    assert got == {
+        1: ("Table 1 and show 40.", True),
+        2: ("And give 40 and 7.", True),
+        3: ("Table 1 has 40, it falls.", True),
+        4: (".", True),
+        5: ("It is.", True),
+        6: (None, None),
+    }

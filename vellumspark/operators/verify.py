@@ -50,22 +50,29 @@ _VERB = r"\s*(?:shows|reports|lists|indicates|presents|gives|summarizes|reveals)
 
 
 def check_labels(rows: DataFrame, figures: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, sentence, changed): the first citation of each sentence stays if its figure exists and, where the sentence has
-    numbers, one of them is printed on the figure's page."""
+    """(id, sentence, changed): a citation stays if its figure exists and, where the sentence has numbers, one of them is
+    printed on the figure's page. The phrases of the others are cut in order. As in the reference, the numbers are those of
+    the sentence as it then stands, which the cuts before may have changed."""
     printed = lines.select("page", F.explode(T.stated_numbers(F.col("line"))).alias("n")).select("page", T.norm_number(F.col("n")).alias("number")).distinct()
-    pattern = r"\b(Table|Figure|Fig\.)\s+(\d+)\b"
-    cited = rows.withColumn("mention", F.regexp_extract("sentence", pattern, 0)).withColumn("label", F.when(F.col("mention") != "", T.figure_label(F.col("mention"))))
-    placed = cited.join(figures, "label", "left")
-    numbers = F.transform(T.stated_numbers(F.col("sentence")), T.norm_number)
-    supported = (
-        placed.select("id", "page", F.explode(numbers).alias("number")).join(printed, ["page", "number"], "left_semi").select("id").distinct().withColumn("ok", F.lit(True))
-    )
-    judged = placed.join(supported, "id", "left")
-    keeps = F.col("label").isNull() | (F.col("page").isNotNull() & ((F.size(numbers) == 0) | F.col("ok").isNotNull()))
-    phrase = F.concat(F.lit(_LEAD), F.regexp_replace("mention", r"\.", r"\\\\."), F.lit(_VERB))
-    cut = F.trim(F.regexp_replace("sentence", phrase, F.lit("")))
-    new = F.when(keeps | (cut == ""), F.col("sentence")).otherwise(T.upper_first(cut))
-    return judged.select("id", new.alias("sentence"), (new != F.col("sentence")).alias("changed"))
+    pattern = r"\b((?:Table|Figure|Fig\.)\s+\d+)\b"
+    each = rows.select("id", F.posexplode(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(1))).alias("pos", "mention"))
+    placed = each.withColumn("label", T.figure_label(F.col("mention"))).join(figures, "label", "left")
+    pages = placed.select("page").distinct().join(printed, "page").groupBy("page").agg(F.collect_set("number").alias("printed"))
+    cited = placed.join(pages, "page", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "mention", "page", "printed"))).alias("cited"))
+
+    def step(text, c):
+        numbers = F.transform(T.stated_numbers(text), T.norm_number)
+        keeps = c["page"].isNotNull() & ((F.size(numbers) == 0) | F.coalesce(F.arrays_overlap(numbers, c["printed"]), F.lit(False)))
+        phrase = F.concat(F.lit(_LEAD), F.replace(c["mention"], F.lit("."), F.lit("\\.")), F.lit(_VERB))
+        # only the first occurrence goes
+        first = F.regexp_substr(text, phrase)
+        at = F.position(first, text)
+        cut = F.trim(F.concat(F.left(text, at - 1), F.substr(text, at + F.length(first))))
+        return F.when(keeps | first.isNull() | (cut == ""), text).otherwise(T.upper_first(cut))
+
+    judged = rows.join(cited, "id", "left")
+    new = F.when(F.col("cited").isNull(), F.col("sentence")).otherwise(F.aggregate("cited", F.col("sentence"), step))
+    return judged.select("id", new.alias("new"), "sentence").select("id", F.col("new").alias("sentence"), (F.col("new") != F.col("sentence")).alias("changed"))
 
 
 def accept_explanations(rows: DataFrame, least: int) -> DataFrame:
