@@ -1,13 +1,17 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint is eight (position, byte) postings. Two fingerprints that differ in at most four bits differ in at most
-four bytes, so they share at least four postings: the guaranteed minimum. Posting lists of single bytes would grow with
-the table, so the index is keyed by four postings at once (70 keys for a fingerprint): a pair meets exactly where it
-shares four, the tally of shared positional bytes is taken from the pair, pairs under the minimum never meet, and each
-survivor is verified by its Hamming distance, once, under the first key that it shares.
+four bytes, so they share at least LEAST_SHARED postings: the guaranteed minimum. Posting lists of single bytes would
+grow with the table, so the index is keyed by three postings at once. A pair is met under its three lowest shared
+positions, its tally of shared positional bytes is taken there, pairs under the minimum are dropped, the rest verified
+by the Hamming distance. Lists longer than LONG are split by a further byte and, where still longer, by a slice of the
+other bits: pairs that qualify share such a byte (the minimum) and such a slice (five slices, four differing bits), so
+splitting loses none. Within such a list, members near its most central one hang on that; only the others are compared.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero; fewer words than a shingle give
-one shingle; copies share a fingerprint and are indexed once; an empty table gives an empty one.
+one shingle; copies share a fingerprint and are indexed once, whatever their ids; rows without a doc_id are fingerprinted
+and grouped, and name a group only where it has no other row; very long texts are hashed in steps of bounded size; an
+empty table gives an empty one; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import LOWER, give_back, join_hot, keep_named, store, texts
+from vellumspark.llm.common import LOWER, give_back, join_hot, store, texts
 from vellumspark.llm.components import components
 
 #: Bits of a fingerprint that may differ, and the bytes that two such fingerprints share at least.
@@ -29,6 +33,8 @@ LEAST_SHARED = 8 - MAX_BITS
 SEED = 42
 #: Shingles hashed at a time: bounds memory for very long texts.
 STEP = 1 << 16
+#: Entries of a posting list that are compared pair by pair; longer lists are split.
+LONG = 64
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -52,88 +58,107 @@ def fingerprint(text: str, words: int) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(starts)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, widths: tuple[int, ...] = (5,)) -> DataFrame:
-    """doc_id, sha (of the text), and fps (one long for each shingle width) of every row."""
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """doc_id and fp (a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[fingerprint(x.as_py(), k) for k in widths] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sha", "fps"])
+            found = [fingerprint(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
         give_back()
 
-    return texts(docs).withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(run, "doc_id long, sha binary, fps array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _byte(column: str, position: int):
+def _byte(column: str | Column, position: int) -> Column:
     return F.shiftrightunsigned(column, 8 * position).bitwiseAND(255)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (family, a, b) of different fingerprints (family, fp) within MAX_BITS of each other, each once."""
-    combos = list(combinations(range(8), LEAST_SHARED))
-    keys = []
-    for k, positions in enumerate(combos):
-        key = F.lit(k).cast("long")
-        for p in positions:
-            key = F.shiftleft(key, 8).bitwiseOR(_byte("fp", p))
-        keys.append(key)
-    index = distinct.select("family", "fp", F.explode(F.array(*keys)).alias("key"))
-    left, right = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
+def _packed(positions: tuple[int, ...]) -> Column:
+    """The positions and their bytes of ``fp`` in one long: the key of a posting list."""
+    key = F.lit(0).cast("long")
+    for p in positions:
+        key = F.shiftleft(key, 4).bitwiseOR(F.lit(p))
+    for p in positions:
+        key = F.shiftleft(key, 8).bitwiseOR(_byte("fp", p))
+    return key
+
+
+def _verified(pairs: DataFrame, depth: int) -> DataFrame:
+    """Count filter, distance, and the ``depth`` lowest shared positions being those of the key, which makes a pair unique."""
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    # the first four shared positions name the one key under which the pair is reported
-    shared = [(F.shiftrightunsigned(differ, 8 * p).bitwiseAND(255) == 0).cast("int") for p in range(8)]
-    tally = sum(shared[1:], shared[0])
-    mask = sum((s * (1 << p) for p, s in enumerate(shared[1:], 1)), shared[0])
-    first = [next(i for i, c in enumerate(combos) if all(m >> p & 1 for p in c)) if bin(m).count("1") >= LEAST_SHARED else -1 for m in range(256)]
-    mine = F.element_at(F.array(*[F.lit(x) for x in first]), mask + 1) == F.shiftright("key", 8 * LEAST_SHARED)
-    return (
-        left.join(right, ["family", "key"])
-        .where((F.col("a") < F.col("b")) & (tally >= LEAST_SHARED) & (F.bit_count(differ) <= MAX_BITS) & mine)
-        .select("family", "a", "b")
-    )
-
-
-def near_dedup(docs: DataFrame, widths: tuple[int, ...] = (5,)) -> DataFrame:
-    """doc_id, sha, uid, fps, root of every row: rows linked by a fingerprint of any width have one root (a uid)."""
-    marked = store(fingerprints(docs, widths).withColumn("uid", F.monotonically_increasing_id()), "simhash")
-    each = marked.select("uid", F.posexplode("fps").alias("family", "fp"))
-    classes = store(each.groupBy("family", "fp").agg(F.min("uid").alias("head"), F.count("*").alias("n")), "simhash-classes")
-    pairs = store(links(classes), "simhash-links")
-    # nodes are the first rows of classes; a row joins the classes of its other fingerprints to that of its first
-    heads = classes.select("family", "fp", "head")
-    edges = (
-        pairs.join(heads.select("family", F.col("fp").alias("a"), F.col("head").alias("x")), ["family", "a"])
-        .join(heads.select("family", F.col("fp").alias("b"), F.col("head").alias("y")), ["family", "b"])
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    key = F.struct("family", "fp")
-    keyed = classes.select(key.alias("k"), "head", "n")
-    if len(widths) > 1:
-        own = store(each.select("uid", key.alias("k")), "simhash-each")
-        copies = join_hot(own, keyed.where("n > 1"), "k", "n").where("uid <> head")
-        roots = components(edges.unionByName(copies.select(F.col("uid").alias("a"), F.col("head").alias("b"))))
-        return marked.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    first = marked.withColumn("k", F.struct(F.lit(0).alias("family"), F.col("fps")[0].alias("fp")))
-    of_class = keyed.join(components(edges).withColumnRenamed("node", "head"), "head", "left").select("k", "n", F.coalesce("root", "head").alias("root"))
-    return join_hot(first, store(of_class, "simhash-roots"), "k", "n").select("doc_id", "sha", "uid", "fps", "root")
-
-
-def least_ids(rooted: DataFrame) -> DataFrame:
-    """root, component_id (the smallest doc_id), keep_uid (its first row), n."""
-    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "uid", "doc_id")
-    return rooted.groupBy("root").agg(F.min(first).alias("f"), F.count("*").alias("n")).select("root", "n", F.col("f.doc_id").alias("component_id"), F.col("f.uid").alias("keep_uid"))
+    shared = [_byte(differ, p) == 0 for p in range(8)]
+    tally = sum((s.cast("int") for s in shared[1:]), shared[0].cast("int"))
+    met = [F.shiftrightunsigned("key", 8 * depth + 4 * (depth - 1 - k)).bitwiseAND(15) for k in range(depth)]
+    lowest = F.lit(True)
+    for p in range(8):  # a shared position at or below the key's last one is one of the key's
+        lowest = lowest & (~shared[p] | (F.lit(p) > met[-1]) | sum(((m == p).cast("int") for m in met[1:]), (met[0] == p).cast("int")).cast("boolean"))
+    return pairs.where((tally >= LEAST_SHARED) & (F.bit_count(differ) <= MAX_BITS) & lowest)
 
 
-def contract(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
-    rooted = store(near_dedup(docs, (words,)), "simhash-rooted")
-    least = store(least_ids(rooted), "simhash-least")
-    found = join_hot(rooted, least, "root", "n")
-    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
+def _paired(listed: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs a < b of each list. The lists have been exploded, which size estimates don't know of: never broadcast."""
+    left, right = listed.withColumnRenamed("fp", "a"), listed.select(*on, F.col("fp").alias("b"))
+    return left.hint("merge").join(right, on).where(F.col("a") < F.col("b"))
+
 
+def _slices(positions: tuple[int, ...]) -> list[Column]:
+    """The bits of ``fp`` outside four positions, 32 of them, as MAX_BITS + 1 numbered slices: one at least is equal in a pair."""
+    rest = F.lit(0).cast("long")
+    for p in (p for p in range(8) if p not in positions):
+        rest = F.shiftleft(rest, 8).bitwiseOR(_byte("fp", p))
+    cuts = [round(32 * k / (MAX_BITS + 1)) for k in range(MAX_BITS + 2)]
+    return [F.shiftleft(F.lit(k), 8).bitwiseOR(F.shiftrightunsigned(rest, a).bitwiseAND((1 << b - a) - 1)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
-def keep_first(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group (its smallest doc_id), with all their columns."""
-    rooted = store(near_dedup(docs, widths), "simhash-rooted")
-    kept = rooted.join(least_ids(rooted).select(F.col("keep_uid").alias("uid")), "uid", "left_semi")
-    return keep_named(docs, kept.select("doc_id", "sha"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) between different fingerprints (fp): two within MAX_BITS of each other are joined directly, or both
+    to one fingerprint that is within MAX_BITS of either; no other link is made."""
+    # a pair that shares four positions has its lowest three among the first seven
+    first = list(combinations(range(7), LEAST_SHARED - 1))
+    index = distinct.select("fp", F.explode(F.array(*[_packed(c) for c in first])).alias("key"))
+    sized = lambda df, *on: df.withColumn("n", F.count("*").over(Window.partitionBy(*on))).where("n > 1")
+    index = store(sized(index, "key"), "simhash-index")
+    short = _verified(_paired(index.where(F.col("n") <= LONG).select("fp", "key"), ["key"]), 3)
+
+    fourth = list(combinations(range(8), LEAST_SHARED))
+    split = F.array(*[F.when((F.shiftrightunsigned("key", 24) == sum(p << 4 * (2 - k) for k, p in enumerate(c[:3]))), _packed(c)) for c in fourth])
+    deeper = index.where(F.col("n") > LONG).select("fp", F.explode(F.array_compact(split)).alias("key"))
+    deeper = store(sized(deeper, "key"), "simhash-deeper")
+    middle = _verified(_paired(deeper.where(F.col("n") <= LONG).select("fp", "key"), ["key"]), 4)
+
+    # what is still long: lists of one 32-bit half by a slice of the other, compared with the centre first
+    by_positions = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
+    for c in fourth:
+        by_positions = by_positions.when(F.shiftrightunsigned("key", 32) == sum(p << 4 * (3 - k) for k, p in enumerate(c)), F.array(*_slices(c)))
+    sliced = deeper.where(F.col("n") > LONG).select("fp", "key", F.explode(by_positions).alias("slice"))
+    on = ["key", "slice"]
+    votes = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(1) * 2 - 1).alias(f"v{k}") for k in range(64)]
+    majority = F.lit(0).cast("long")
+    for k in range(64):
+        majority = majority.bitwiseOR(F.when(F.col(f"v{k}") > 0, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    sliced = store(sliced, "simhash-sliced")
+    middles = sliced.groupBy(*on).agg(*votes, F.count("*").alias("m")).where("m > 1").select(*on, majority.alias("majority"))
+    ranked = sliced.hint("merge").join(middles, on)
+    centre = ranked.groupBy(*on).agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))).alias("d"), "fp")).alias("c")).select(*on, F.col("c.fp").alias("centre"))
+    placed = store(sliced.hint("merge").join(centre, on).withColumn("hangs", F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= MAX_BITS), "simhash-placed")
+    hung = placed.where("hangs and fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    loose, others = placed.where("not hangs").select(*on, F.col("fp").alias("a")), placed.select(*on, F.col("fp").alias("b"))
+    apart = loose.hint("merge").join(others, on).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
+    return short.select("a", "b").unionByName(middle.select("a", "b")).unionByName(hung).unionByName(apart.select("a", "b"))
+
+
+def near_dedup(docs: DataFrame, words: int = 4) -> DataFrame:
+    """doc_id, fp, component_id of every row. Only one row of each fingerprint is a node of the link graph."""
+    marked = store(fingerprints(docs, words), "simhash")
+    classes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
+    roots = components(links(classes)).withColumnsRenamed({"node": "fp"})
+    rooted = store(classes.hint("merge").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.hint("merge").join(smallest, "root").select("fp", "n", "component_id")
+    return join_hot(marked, store(named, "simhash-named"), "fp", "n").select("doc_id", "fp", "component_id")
+
+
+def contract(docs: DataFrame, words: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id."""
+    return near_dedup(docs, words).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
