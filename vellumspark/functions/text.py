@@ -22,8 +22,9 @@ LIMITS = (
 #: A number that no letter, digit, underscore or dot touches on its left; Unicode classes, as Java's \w is ASCII.
 NUMBER = r"(?<![\p{L}\p{N}_.])(\d(?:[\d,]*\d)?(?:\.\d+)?)"
 UNIT = r"(\s?%|\s?percent|[kK]\b)?"
-#: The same number, unless a label stands directly before it (look-behind needs a bound for the blanks).
-CLAIM = rf"(?<!(?i:{LABELS})\s{{0,40}})" + NUMBER + UNIT
+#: The same number, unless a label stands directly before it (look-behind needs a bound for the blanks). The digit is
+#: asked for first, so that the long look-behind is tried at numbers only, not at every character.
+CLAIM = rf"(?<![\p{{L}}\p{{N}}_.])(?=\d)(?<!(?i:{LABELS})\s{{0,40}})" + NUMBER.partition(")")[2] + UNIT
 CITATION = r"\[\s*\d+(?:\s*[,–-]\s*\d+)*\s*\]"
 
 

@@ -26,9 +26,8 @@ def unsupported(claims: DataFrame, source: DataFrame, on: list[str]) -> DataFram
 
 def statuses(rows: DataFrame, claims: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
     """Numbers, unverified ones, status and verified share of every row."""
-    bad = unsupported(claims, source, on).withColumn("bad", F.col("mentions"))
-    marked = claims.join(bad.select(*on, "number", "bad"), [*on, "number"], "left").groupBy(*on)
-    sums = marked.agg(F.sum("mentions").alias("numbers"), F.sum("bad").alias("unverified"))
+    found = claims.join(source.select(*on, "number", F.lit(True).alias("known")), [*on, "number"], "left")
+    sums = found.groupBy(*on).agg(F.sum("mentions").alias("numbers"), F.sum(F.when(F.col("known").isNull(), F.col("mentions")).otherwise(0)).alias("unverified"))
     out = rows.join(sums, on, "left").fillna(0, ["numbers", "unverified"])
     share = 1 - F.col("unverified") / F.greatest("numbers", F.lit(1))
     return out.select(*on, "numbers", "unverified", F.when(F.col("unverified") == 0, "ok").otherwise("dropped").alias("status"), F.bround(share, 3).alias("verified"))

@@ -142,7 +142,7 @@ def said_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", said.alias("said"), speak.clean(said).alias("clean"))
 
 
-@BOOK.add(r"""SELECT doc_id, regexp_replace(lower(regexp_replace(substr(text, 1, 200), '[^\x00-\x7F]', '', 'g')), '[^0-9a-z]', '', 'g') AS key FROM documents""")
+@BOOK.add(r"""SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^0-9a-z]', '', 'g') AS key FROM documents""")
 def squashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-02: ASCII letters and digits of the whole text."""
     return table(spark, sf_dir, "documents").select("doc_id", T.squash(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("key"))
