@@ -10,13 +10,14 @@ from vellumspark.plans.base import Book, table
 
 BOOK = Book()
 
-_LADDER = r"""CASE WHEN regexp_matches(x, '(?i)creativecommons\.org/publicdomain/zero|\bCC0\b') THEN 'CC0 1.0'
- WHEN regexp_matches(x, '(?i)creativecommons\.org/licenses/([a-z\-]+)/([\d.]+)') THEN 'CC ' || upper(regexp_extract(x, '(?i)creativecommons\.org/licenses/([a-z\-]+)/([\d.]+)', 1)) || ' ' || regexp_extract(x, '(?i)creativecommons\.org/licenses/([a-z\-]+)/([\d.]+)', 2)
- WHEN regexp_matches(x, '(?i)CC[- ]BY[- ]NC[- ]SA|Creative Commons Attribution[- ]NonCommercial[- ]ShareAlike') THEN 'CC BY-NC-SA 4.0'
- WHEN regexp_matches(x, '(?i)CC[- ]BY[- ]NC[- ]ND|[- ]NonCommercial[- ]NoDerivatives') THEN 'CC BY-NC-ND 4.0'
- WHEN regexp_matches(x, '(?i)CC[- ]BY[- ]NC\b|[- ]NonCommercial\b') THEN 'CC BY-NC 4.0'
- WHEN regexp_matches(x, '(?i)CC[- ]BY[- ]ND\b|[- ]NoDerivatives\b') THEN 'CC BY-ND 4.0'
- WHEN regexp_matches(x, 'CC[- ]BY($|[^- N]|[- ]($|[^N])|[- ]?N($|[^CD]))|Creative Commons Attribution') THEN 'CC BY 4.0' ELSE '' END"""
+#: The wordings of a text, each as the elements that it names, the most restricted of them; DuckDB has no look-ahead.
+_WORDS = r"""regexp_extract_all(x, '(?i)(CC[- ]BY|Creative Commons Attribution)([- ](NC|NonCommercial)\b)?([- ](SA|ND|ShareAlike|NoDerivatives)\b)?|[- ]NonCommercial\b([- ]NoDerivatives\b)?|[- ]NoDerivatives\b')"""
+_RANK = """list_max(list_transform(w, lambda v: CASE WHEN regexp_matches(v, '(?i)(NC.SA|NonCommercial.ShareAlike)$') THEN 5 WHEN regexp_matches(v, '(?i)(NC.ND|NonCommercial.NoDerivatives)$') THEN 4
+ WHEN regexp_matches(v, '(?i)(NC|NonCommercial)$') THEN 3 WHEN regexp_matches(v, '(?i)(ND|NoDerivatives)$') THEN 2 WHEN regexp_matches(v, '^(CC.BY|Creative Commons)') THEN 1 ELSE 0 END))"""
+_LINK = r"'(?i)creativecommons\.org/licenses/([a-z\-]+)/([\d.]+)'"
+_LADDER = rf"""CASE WHEN regexp_matches(x, '(?i)creativecommons\.org/publicdomain/zero|\bCC0\b') THEN 'CC0 1.0'
+ WHEN regexp_matches(x, {_LINK}) THEN 'CC ' || upper(regexp_extract(x, {_LINK}, 1)) || ' ' || regexp_extract(x, {_LINK}, 2)
+ ELSE coalesce(list_extract(['CC BY 4.0', 'CC BY-ND 4.0', 'CC BY-NC 4.0', 'CC BY-NC-ND 4.0', 'CC BY-NC-SA 4.0'], (SELECT {_RANK} FROM (SELECT {_WORDS} AS w))), '') END"""
 
 
 @BOOK.add(f"WITH d AS (SELECT doc_id, substr(text, 1, 20000) AS x FROM documents) SELECT doc_id, {_LADDER} AS license FROM d")
