@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [hashes_of(x.as_py()).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(found, pa.binary())], names=["doc_id", "y", "words"])
 
     sample = labelled(docs, labels, "toxic", crc_mod("doc_id", 3) != 1, rows)
     got = sample.mapInArrow(run, "doc_id long, y double, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
