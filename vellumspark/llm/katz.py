@@ -43,6 +43,8 @@ K, HOT = 5, 4096
 #: Bytes of text in a block, and entries of a bucket, about.
 BLOCK, BUCKET = 5 << 20, 1_000_000
 END = b" "  # no word holds a blank
+#: Columns of a hot context's part in a bucket.
+_PART = ["key", *(f"n{k}" for k in range(K)), "mass"]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -387,6 +389,20 @@ def score_blocks(answered: DataFrame, buckets: int, hot_from: float, unigrams: U
     return answered.mapInArrow(run, SCORES)
 
 
+def hot_sums(pairs: DataFrame) -> DataFrame:
+    """key, low (n_1 .. n_K), mass of every hot context, summed over the buckets; each bucket's part is one row a context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, low = flat(row["x"]).astype(np.int64), flat(row["y"]).astype(np.int64).reshape(-1, K)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(low[:, k]) for k in range(K)), pa.array(flat(row["z"]).astype(float))], names=_PART)
+
+    each = pairs.where("kind = 'hot'").select("x", "y", "z").mapInArrow(run, ", ".join(f"{n} {'double' if n == 'mass' else 'long'}" for n in _PART))
+    sums = each.groupBy("key").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(K)), F.sum("mass").alias("mass"))
+    return sums.select("key", F.array(*(f"n{k}" for k in range(K))).alias("low"), "mass")
+
+
 def _stats(given: DataFrame) -> list[int]:
     """Sums of the table rows' statistics."""
     sums = given.where("kind = 'table'").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(K + 3))).first()
@@ -412,11 +428,6 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     _, _, *of_pairs = _stats(pairs)
     del asked
     sweep(spark)
-    hot: dict[int, tuple] = {}
-    for row in pairs.where("kind = 'hot'").select("x", "y", "z").toLocalIterator():  # at most HOT + 1 contexts a bucket
-        for key, n, m in zip(flat(row["x"]).tolist(), flat(row["y"]).astype(np.int64).reshape(-1, K), flat(row["z"])):
-            had = hot.get(key, (np.zeros(K, np.int64), 0.0))
-            hot[key] = (had[0] + n, had[1] + float(m))
-    hot = {key: (tuple(int(x) for x in n), m) for key, (n, m) in hot.items()}
+    hot = {r["key"]: (tuple(r["low"]), r["mass"]) for r in hot_sums(pairs).collect()}  # HOT + 1 rows at most
     ends = int(table.select(F.explode("held").alias("h")).where("NOT h").count())
     return score_blocks(with_answers(table, words, pairs), buckets, hot_from, unigrams, discounts(of_pairs), ends, hot)
