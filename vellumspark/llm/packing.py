@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import LOWER, give_back, partitions, store, texts
+from vellumspark.llm.common import LOWER, give_back, store, texts
 
 CAPACITY = 4096
 UNIT = 8
@@ -36,6 +36,8 @@ END_ID = 2
 CACHE = 400_000
 #: The knapsack stops pricing at this gain, or after so many columns: the plan stays valid, only less tight.
 GAIN, COLUMNS = 1e-4, 6000
+#: Pieces of a class that are ranked in one task, about.
+PART = 250_000
 #: Weight of the steady duals in pricing.
 SMOOTH = 0.9
 #: Stands between chunks that are encoded together. One code point that is one token and merges with nothing around it.
@@ -297,16 +299,29 @@ def plan(counts: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """``cut`` (a stored frame of pieces) with sequence_id and offset."""
+    """``cut`` (a stored frame of pieces, each with a ``uid`` of its own) with sequence_id and offset.
+
+    A class is ranked in as many parts as its count asks for (PART pieces a part, about), dealt by the piece's uid, so no
+    part grows with the table. The driver holds one number for each part.
+    """
     spark = cut.sparkSession
-    salts = min(256, max(16, partitions(spark)))
-    salted = cut.withColumns({"_class": F.ceil(F.col("length") / unit).cast("int"), "_salt": F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")})
     room = capacity // unit
-    counts = np.zeros((room + 1, salts), np.int64)
-    for c, s, n in salted.groupBy("_class", "_salt").count().collect():  # at most (room + 1) * salts rows
-        counts[c, s] = n
-    before = np.cumsum(counts, axis=1) - counts
-    patterns = plan(counts.sum(1), room)
+    classed = cut.withColumn("_class", F.ceil(F.col("length") / unit).cast("int"))
+    sizes = np.zeros(room + 1, np.int64)
+    for c, n in classed.groupBy("_class").count().collect():  # a row for each class
+        sizes[c] = n
+    parts = np.maximum(1, -(-sizes // PART))
+    salts = F.element_at(F.array(*(F.lit(int(n)) for n in parts)), F.col("_class") + 1)
+    salted = classed.withColumn("_salt", F.pmod(F.xxhash64("uid"), salts).cast("int"))
+    at = np.cumsum(parts) - parts
+    counts = np.zeros(int(parts.sum()), np.int64)
+    counts[at] = sizes
+    counts[at[parts > 1]] = 0
+    for c, s, n in salted.where(salts > 1).groupBy("_class", "_salt").count().collect():  # a row for each PART pieces
+        counts[at[c] + s] = n
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[at], parts)
+    patterns = plan(sizes, room)
     times = np.array([t for _, t in patterns], np.int64)
     first = np.cumsum(times) - times
     tables = {}
@@ -316,15 +331,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFram
         lead = np.array([patterns[p][0][c + 1 :].sum() for p in has], np.int64)  # larger pieces come first
         ends = np.cumsum(slots * times[has]) if has else np.zeros(0, np.int64)
         tables[c] = (ends, slots, first[has] if has else ends, lead)
-    shared = spark.sparkContext.broadcast((before, tables))
+    shared = spark.sparkContext.broadcast((at, before, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets, by_class = shared.value
+        start_of, offsets, by_class = shared.value
         for batch in batches:
             at = {n: k for k, n in enumerate(batch.schema.names)}
             get = lambda n: batch.column(at[n]).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
             kind, salt, rank = get("_class"), get("_salt"), get("_rank")
-            rank = rank - 1 + offsets[kind, salt]
+            rank = rank - 1 + offsets[start_of[kind] + salt]
             sequence, slot = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64)
             for c in np.unique(kind).tolist():
                 mine = np.flatnonzero(kind == c)
@@ -338,16 +353,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFram
                 [*(batch.column(k) for k in keep), pa.array(sequence), pa.array(slot)], names=[*(batch.schema.names[k] for k in keep), "sequence_id", "_slot"]
             )
 
-    order = [c for c in ("doc_id", "start", "length", "ids_crc32") if c in cut.columns]
+    order = [c for c in ("doc_id", "start", "length", "ids_crc32", "uid") if c in cut.columns]
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(*order)))
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType([*cut.schema.fields]).add("sequence_id", LongType()).add("_slot", LongType())
     placed = ranked.mapInArrow(run, schema)
     inside = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("_slot")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("_slot", "uid")
 
 
 def contract(docs: DataFrame, path: str | None = None, room: int = CACHE, hold: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    return pack(store(pieces(docs, path, room=room, hold=hold), "pieces"))
+    return pack(store(pieces(docs, path, room=room, hold=hold).withColumn("uid", F.monotonically_increasing_id()), "pieces"))
