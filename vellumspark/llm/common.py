@@ -51,8 +51,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Folders of this process' applications, which go when it ends.
+_FOLDERS: set[str] = set()
+
+
+def _free(spark: SparkSession, folder: str, configuration) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        at.getFileSystem(configuration).delete(at, True)
+    except Exception:  # the virtual machine may be gone by then, and its files with it
+        pass
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/vellumspark/{label}-{uuid.uuid4().hex}"
+    """A new folder in the shared one. What an application keeps stays until its driver ends: results are lazy."""
+    folder = f"{shared_dir(spark)}/vellumspark/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_free, spark, folder, spark._jsc.hadoopConfiguration())
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -93,15 +110,28 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str =
     return near.unionByName(far)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be no column of ``df``, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_named(docs: DataFrame, names: DataFrame, text: Column) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, SHA-256 of ``text``) is among ``names`` (doc_id, sha), one for each name.
 
-    Rows that repeat a name are reduced by a deduplication that needs no exchange beyond that of the join.
+    Rows that repeat a name are reduced by an aggregation that needs no exchange beyond that of the join: the one with
+    the smallest hash of all its columns stays, so a rerun keeps the same.
     """
-    names = names.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
-    named = docs.withColumns({"_id": F.col("doc_id"), "_sha": F.unhex(F.sha2(text, 256))})
-    on = named["_id"].eqNullSafe(names["_id"]) & (named["_sha"] == names["_sha"])
-    return named.join(names, on, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    i, s, row, least = (free_name(docs, n) for n in ("i", "s", "row", "least"))
+    names = names.select(F.col("doc_id").alias(i), F.col("sha").alias(s))
+    plain = lambda c: F.to_json(F.struct(c)) if docs.schema[c].dataType.typeName() in ("map", "struct", "array", "variant") else F.col(f"`{c}`")
+    each = F.xxhash64("text", *(plain(c) for c in docs.columns))
+    named = docs.select(F.col("doc_id").alias(i), F.unhex(F.sha2(text, 256)).alias(s), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), each.alias(least))
+    on = named[i].eqNullSafe(names[i]) & (named[s] == names[s])
+    kept = named.join(names, on, "left_semi").groupBy(i, s).agg(F.min_by(row, least).alias(row))
+    return kept.select(f"{row}.*")
 
 
 def give_back() -> None:
