@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import LOWER, give_back, join_hot, store, texts
+from vellumspark.llm.common import LOWER, give_back, join_hot, store, texts, word_bounds
 from vellumspark.llm.components import components
 
 #: Bits of a fingerprint that may differ, and the bytes that two such fingerprints share at least.
@@ -42,15 +42,11 @@ def fingerprint(text: str, words: int) -> int:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    parts = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not parts:
+    joined, starts, ends = word_bounds(text.encode("utf-8", "surrogatepass").translate(LOWER))
+    if not len(starts):
         return 0
-    joined = b" ".join(parts)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    k = min(words, len(parts))
-    starts, ends = starts[: len(parts) - k + 1], ends[k - 1 :]
+    k = min(words, len(starts))
+    starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
     votes = np.zeros(64, np.int64)
     for at in range(0, len(starts), STEP):
         hashed = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist())], ">u8")
