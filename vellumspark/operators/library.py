@@ -54,16 +54,20 @@ def numbered(n: Column, paper: Column) -> Column:
     return F.concat(F.format_string("%02d", n), F.lit(" - "), paper)
 
 
-def numbers_for(papers: DataFrame, owned: DataFrame, folders: DataFrame) -> DataFrame:
-    """(job, paper, n): the number that a job's paper holds, else one above all numbers in use.
+def numbers_for(papers: DataFrame, owned: DataFrame, folders: DataFrame, library: tuple[str, ...] = ()) -> DataFrame:
+    """(library, job, paper, n): the number that a job's paper holds, else one above all numbers in use in its library.
 
-    papers: (job, paper); owned: (name, job); folders: (name). The numbers in use are one aggregate row.
+    papers: (library, job, paper); owned: (library, name, job); folders: (library, name). Without ``library`` all are of
+    one. New papers are numbered in a window of their library alone.
     """
-    used = owned.select("name").unionByName(folders.select("name")).agg(F.coalesce(F.max(folder_number(F.col("name"))), F.lit(0)).alias("most"))
-    held = owned.select("job", unnumbered(F.col("name")).alias("paper"), folder_number(F.col("name")).alias("held"))
-    fresh = Window.partitionBy(F.col("held").isNull()).orderBy("job", "paper")
-    joined = papers.join(held, ["job", "paper"], "left").crossJoin(F.broadcast(used))
-    return joined.select("job", "paper", F.coalesce("held", F.col("most") + F.row_number().over(fresh)).cast("int").alias("n"))
+    if not library:
+        one = [df.withColumn("library", F.lit(1)) for df in (papers, owned, folders)]
+        return numbers_for(*one, ("library",)).drop("library")
+    used = owned.select(*library, "name").unionByName(folders.select(*library, "name")).groupBy(*library).agg(F.max(folder_number(F.col("name"))).alias("most"))
+    held = owned.select(*library, "job", unnumbered(F.col("name")).alias("paper"), folder_number(F.col("name")).alias("held"))
+    fresh = Window.partitionBy(*library, F.col("held").isNull()).orderBy("job", "paper")
+    joined = papers.join(held, [*library, "job", "paper"], "left").join(used, [*library], "left")
+    return joined.select(*library, "job", "paper", F.coalesce("held", F.coalesce("most", F.lit(0)) + F.row_number().over(fresh)).cast("int").alias("n"))
 
 
 def stage_progress(stages: DataFrame, key: str) -> DataFrame:

@@ -116,17 +116,20 @@ def study_segments(groups: Column, most: int = 10) -> Column:
     return F.aggregate(groups, F.array().cast(kind), step)
 
 
-def fit_length(sizes: Column, budget: Column) -> Column:
+def fit_length(sizes: Column, budget: Column, free: Column | None = None) -> Column:
     """How many sentences each chapter keeps: sizes is an array of word counts, an array for each chapter. The longest
-    chapter (the first of equals) loses its last sentence until the words fit; a chapter keeps one at least."""
+    chapter (the first of equals) loses its last sentence until the words fit; a chapter keeps one at least. Only chapters
+    marked in ``free`` (section chapters; by default all) are cut: openings and endings stay whole."""
+    may = F.transform(sizes, lambda c: F.lit(True)) if free is None else free
     counts = F.transform(sizes, lambda c: F.size(c))
     total = F.aggregate(F.flatten(sizes), F.lit(0).cast("long"), lambda a, x: a + x)
     start = F.struct(counts.alias("kept"), total.alias("words"))
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.flatten(sizes))))
 
     def step(acc: Column, _: Column) -> Column:
-        top = F.array_max(acc["kept"])
-        at = F.array_position(acc["kept"], top).cast("int")
+        cuttable = F.zip_with(acc["kept"], may, lambda n, ok: F.when(ok, n).otherwise(0))
+        top = F.array_max(cuttable)
+        at = F.array_position(cuttable, top).cast("int")
         over = (acc["words"] > budget) & (top > 1)
         fewer = F.transform(acc["kept"], lambda n, k: F.when(k == at - 1, n - 1).otherwise(n))
         return F.struct(

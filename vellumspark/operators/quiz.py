@@ -62,11 +62,11 @@ def speech(rows: DataFrame, total: int) -> DataFrame:
     return rows.select("pos", question.alias("question"), F.concat(F.lit("The answer is "), F.element_at(each, F.col("answer") + 1), F.lit("."), why).alias("answer"))
 
 
-def markdown(rows: DataFrame, title: str) -> DataFrame:
-    """One text: questions with their options, and the key at the end."""
+def markdown(rows: DataFrame, title: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One text for each quiz (``by``): questions with their options, and the key at the end."""
     letters = F.array(*[F.lit(x) for x in "ABCD"])
     options = F.array_join(F.transform("options", lambda o, k: F.concat(F.lit("- "), F.element_at(letters, k + 1), F.lit(". "), o)), "\n")
     asked = F.concat(F.lit("**"), F.col("pos").cast("string"), F.lit(". "), "question", F.lit("**\n\n"), options)
     key = F.concat(F.col("pos").cast("string"), F.lit(". "), F.element_at(letters, F.col("answer") + 1))
-    both = rows.agg(F.sort_array(F.collect_list(F.struct("pos", asked.alias("q"), key.alias("k")))).alias("x"))
-    return both.select(F.concat(F.lit(f"# Check your understanding\n\n_{title}_\n\n"), F.array_join("x.q", "\n\n"), F.lit("\n\n## Answers\n\n"), F.array_join("x.k", "\n")).alias("text"))
+    both = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", asked.alias("q"), key.alias("k")))).alias("x"))
+    return both.select(*by, F.concat(F.lit(f"# Check your understanding\n\n_{title}_\n\n"), F.array_join("x.q", "\n\n"), F.lit("\n\n## Answers\n\n"), F.array_join("x.k", "\n")).alias("text"))

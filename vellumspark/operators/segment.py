@@ -70,13 +70,14 @@ def caption_sentences(caption: Column, most: int = 2, max_words: int = 34) -> Co
     return F.aggregate(parts, start, step, lambda acc: acc["kept"])
 
 
-def narrated_captions(figures: DataFrame) -> DataFrame:
-    """(pos, text, figure) of figures (label, page, y0, caption) in reading order; the first sentence names its figure."""
+def narrated_captions(figures: DataFrame, paper: tuple[str, ...] = ()) -> DataFrame:
+    """(paper, pos, text, figure) of figures (label, page, y0, caption) in reading order; the first sentence names its
+    figure. Without ``paper`` the figures are those of one."""
     each = figures.withColumn("s", caption_sentences(F.col("caption"))).where(F.size("s") > 0)
-    rows = each.select("page", "y0", "label", F.posexplode("s").alias("k", "s"))
+    rows = each.select(*paper, "page", "y0", "label", F.posexplode("s").alias("k", "s"))
     text = F.when(F.col("k") == 0, F.concat("label", F.lit(": "), "s")).otherwise(F.col("s"))
-    order = Window.orderBy("page", "y0", "k")  # one paper's figures
-    return rows.select(F.row_number().over(order).alias("pos"), text.alias("text"), F.col("label").alias("figure"))
+    order = Window.partitionBy(*(paper or [F.lit(1)])).orderBy("page", "y0", "k")
+    return rows.select(*paper, F.row_number().over(order).alias("pos"), text.alias("text"), F.col("label").alias("figure"))
 
 
 def citation_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -119,14 +120,15 @@ def number_word(n: Column) -> Column:
     return F.when(n.between(0, 20), F.try_element_at(names, n.cast("int") + 1)).otherwise(n.cast("string"))
 
 
-def structure_tour(sections: DataFrame) -> DataFrame:
-    """(pos, text) of sections (pos, num, title, parent, appendix): a sentence for the paper, each main section, the appendix."""
+def structure_tour(sections: DataFrame, paper: tuple[str, ...] = ()) -> DataFrame:
+    """(paper, pos, text) of sections (pos, num, title, parent, appendix): a sentence for the paper, each main section, the
+    appendix. Without ``paper`` the sections are those of one."""
     body = sections.where(~F.col("num").isin("0", "R") & ~F.col("appendix"))
     top = F.substring_index("num", ".", 1)
     nested = F.col("num").contains(".")
     tops = (
         body.withColumn("top", top)
-        .groupBy("top")
+        .groupBy(*paper, "top")
         .agg(
             F.min("pos").alias("pos"),
             F.min_by(F.when(nested, F.col("parent")).otherwise(F.col("title")), "pos").alias("title"),
@@ -135,12 +137,12 @@ def structure_tour(sections: DataFrame) -> DataFrame:
     )
     subs = F.filter(F.col("subs.title"), lambda s: F.lower(s) != F.lower("title"))
     covers = F.when(F.size(subs) > 0, F.concat(F.lit(", covers "), T.listing(F.slice(subs, 1, 4)))).otherwise("")
-    each = tops.select(F.col("pos").alias("o"), F.concat(F.lit("Section "), "top", F.lit(", "), "title", covers, F.lit(".")).alias("text"))
-    lead = tops.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(-1).alias("o"), F.concat(F.lit("The main text has "), number_word(F.col("n")), F.lit(" sections.")).alias("text"))
-    names = sections.where("appendix").groupBy("title").agg(F.min("pos").alias("p"))
-    tail = names.agg(F.sort_array(F.collect_list(F.struct("p", "title"))).alias("t")).where("size(t) > 0")
-    tail = tail.select(F.lit(2**30).alias("o"), F.concat(F.lit("An appendix adds "), T.listing(F.slice(F.col("t.title"), 1, 4)), F.lit(".")).alias("text"))
-    return lead.unionByName(each).unionByName(tail).select(F.row_number().over(Window.orderBy("o")).alias("pos"), "text")
+    each = tops.select(*paper, F.col("pos").alias("o"), F.concat(F.lit("Section "), "top", F.lit(", "), "title", covers, F.lit(".")).alias("text"))
+    lead = tops.groupBy(*paper).agg(F.count("*").alias("n")).where("n > 0").select(*paper, F.lit(-1).alias("o"), F.concat(F.lit("The main text has "), number_word(F.col("n")), F.lit(" sections.")).alias("text"))
+    names = sections.where("appendix").groupBy(*paper, "title").agg(F.min("pos").alias("p"))
+    tail = names.groupBy(*paper).agg(F.sort_array(F.collect_list(F.struct("p", "title"))).alias("t")).where("size(t) > 0")
+    tail = tail.select(*paper, F.lit(2**30).alias("o"), F.concat(F.lit("An appendix adds "), T.listing(F.slice(F.col("t.title"), 1, 4)), F.lit(".")).alias("text"))
+    return lead.unionByName(each).unionByName(tail).select(*paper, F.row_number().over(Window.partitionBy(*(paper or [F.lit(1)])).orderBy("o")).alias("pos"), "text")
 
 
 def author_sentences(names: Column, per: int = 6) -> Column:
