@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from vellumspark.functions import text as T
+from vellumspark.operators import metrics as M
 from vellumspark.plans.base import Book
 
 BOOK = Book()
@@ -18,13 +17,4 @@ def abstract_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         r"""SELECT * FROM (VALUES (1, 'Title\nAbstract We solve 40% of 2,294 tasks in 2.5 hours.\n1 Introduction\nAnd 77 more.', 'About 40% of 2,294.'),
         (2, 'No heading, 12 items', '12 items'), (3, 'Abstract\nnothing', 'nothing')) AS t(id, paper, script)"""
     )
-    start = F.regexp_instr("paper", F.lit(r"A\s?BSTRACT|Abstract"))
-    after = F.when(start > 0, F.expr("substr(paper, regexp_instr(paper, 'A\\\\s?BSTRACT|Abstract') + 8)")).otherwise(F.col("paper"))
-    stop = F.regexp_instr(after, F.lit(r"\n\s*1\s+I\s?NTRODUCTION|\n\s*1\s+Introduction|CCS Concepts|Keywords"))
-    part = F.when(stop > 0, F.left(after, stop - 1)).otherwise(F.left(after, F.lit(3000)))
-    wanted = F.array_distinct(F.transform(F.filter(T.stated_numbers(part), lambda n: (F.length(T.norm_number(n)) > 1) | n.contains(".")), T.norm_number))
-    used = F.array_distinct(F.transform(T.stated_numbers(F.col("script")), T.norm_number))
-    covered = F.size(F.array_intersect(wanted, used))
-    return rows.select("id", covered.alias("covered"), F.size(wanted).alias("wanted"), F.bround(covered / F.greatest(F.size(wanted), F.lit(1)), 3).alias("coverage"))
-
-
+    return M.abstract_coverage(rows, "paper", "script").drop("paper", "script")

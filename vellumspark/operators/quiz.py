@@ -51,15 +51,15 @@ def _dotless(c: Column) -> Column:
     return F.regexp_replace(c, r"\.+$", "")
 
 
-def speech(rows: DataFrame, total: int) -> DataFrame:
-    """(pos, question, answer) as a voice reads them."""
+def speech(rows: DataFrame, total: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pos, question, answer) as a voice reads them."""
     letters = F.array(*[F.lit(x) for x in "ABCD"])
     each = F.transform("options", lambda o, k: F.concat(F.element_at(letters, k + 1), F.lit(": "), _dotless(o)))
     question = F.concat(
         F.lit("Question "), F.col("pos").cast("string"), F.lit(f" of {total}. "), "question", F.lit(" "), F.array_join(F.slice(each, 1, 3), "; "), F.lit("; or "), F.element_at(each, 4), F.lit(".")
     )
     why = F.when(F.col("explanation") != "", F.concat(F.lit(" "), "explanation")).otherwise("")
-    return rows.select("pos", question.alias("question"), F.concat(F.lit("The answer is "), F.element_at(each, F.col("answer") + 1), F.lit("."), why).alias("answer"))
+    return rows.select(*by, "pos", question.alias("question"), F.concat(F.lit("The answer is "), F.element_at(each, F.col("answer") + 1), F.lit("."), why).alias("answer"))
 
 
 def markdown(rows: DataFrame, title: str, by: tuple[str, ...] = ()) -> DataFrame:
