@@ -6,7 +6,7 @@ import importlib
 
 from vellumspark.plans.base import Query
 
-MODULES = ("pages", "drafts", "verification", "metrics", "licensing", "segments", "timelines", "collections", "matching", "layouts", "scripts", "inputs")
+MODULES = ("pages", "drafts", "lists", "verification", "metrics", "licensing", "segments", "timelines", "collections", "matching", "layouts", "scripts", "inputs")
 
 
 def _books() -> list:

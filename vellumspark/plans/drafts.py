@@ -209,7 +209,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     display = (
         F.when(F.col("turn") % 4 == 0, F.concat(F.lit("\\begin{equation}\\label{eq:"), F.col("turn"), F.lit("} \\ab{"), F.col("turn"), F.lit("} = 1, \\end{equation}\n\n")))
         .when(F.col("turn") % 4 == 1, F.concat(F.lit("\\begin{align} a &= "), F.col("turn"), F.lit(" \\\\ c &= d \\nonumber \\\\ e &= f \\end{align}\n\n")))
-        .when(F.col("turn") % 4 == 2, F.concat(F.lit("\\[ x_{"), F.col("turn"), F.lit("} \\]\n\n"))).otherwise(F.lit("\\begin{equation*} y = 2 \\end{equation*}\n\n\\appendix\n"))
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit("\\[ x_{"), F.col("turn"), F.lit("} \\]\n\n"))).otherwise(F.lit("\\begin{equation*} y = 2 \\end{equation*}\n\n\\appendix\n\n"))
     )
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat(sentence, display).alias("t")))), lambda x: x["t"]), "")
     return talk(spark, sf_dir).groupBy("conv_id").agg(F.concat(F.lit(_PREAMBLE), body, F.lit("\\end{document}")).alias("source"))
