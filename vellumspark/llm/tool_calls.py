@@ -8,7 +8,8 @@ identifiers can't multiply rows; the largest groups of calls with one identifier
 fixed size. Order: a call's level is the longest chain of dependencies below it. Each round every open dependency takes
 over what its target knows: its level, or its one open dependency at the sum of both distances. Chains are followed by
 doubling, so their rounds grow with the logarithm of their length; calls with several open dependencies wait for all but
-one. A round that settles nothing leaves only calls in or behind a cycle. The order is given as sort key (level, turn,
+one. Dependencies that two others imply (back, or forth, in steps of one direction) are left out first, so ladders are
+chains. A round that settles nothing leaves only calls in or behind a cycle. The order is given as sort key (level, turn,
 call_id), so no task ever needs a whole conversation. Canonical JSON: keys sorted, no blanks, which is how Spark writes a
 parsed variant.
 
@@ -29,6 +30,8 @@ from vellumspark.llm.common import delete, join_hot, store, stored
 
 #: No chain is longer; the distances in a cycle, which double in every round, stop here.
 FARTHEST = 1 << 40
+#: Calls with more dependencies than this are not looked through for implied ones.
+FEW = 4
 
 #: Tool schemas: tool -> parameter -> (type, required, least, most); a string's bounds are of its length, null: none.
 SCHEMAS = {
@@ -66,15 +69,28 @@ def violations(arguments: Column, name: Column, schemas: dict = SCHEMAS) -> Colu
     return out
 
 
+def reduced(edges: DataFrame) -> DataFrame:
+    """Dependencies (k, needs, at, of; at and of are the turns of both) without those that two others imply.
+
+    Only steps of one direction of turns count, in which there are no cycles: what is left reaches what it reached, over
+    chains as long as before.
+    """
+    few = edges.join(edges.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n").between(1, FEW)), "k")
+    onward = few.select(F.col("k").alias("needs"), F.col("needs").alias("x"), F.col("of").alias("far"))
+    back, forth = (F.col("at") > F.col("of")) & (F.col("of") > F.col("far")), (F.col("at") < F.col("of")) & (F.col("of") < F.col("far"))
+    implied = edges.hint("merge").join(onward, "needs").where(back | forth).select("k", F.col("x").alias("needs"))
+    return edges.join(implied, ["k", "needs"], "left_anti")
+
+
 def levels(edges: DataFrame) -> DataFrame:
-    """k, level of every call that has a dependency (k, needs; both keys of calls); null in or behind a cycle."""
+    """k, level of every call that has a dependency (k, needs, at, of); null in or behind a cycle."""
     spark = edges.sparkSession
-    state = edges.select("k", "needs", F.lit(1).cast("long").alias("far"), F.lit(None).cast("long").alias("least")).distinct()
+    state = reduced(store(edges.distinct(), "edges")).select("k", "needs", F.lit(1).cast("long").alias("far"), F.lit(None).cast("long").alias("least"))
     state, path = stored(state, "levels")
     before = -1
     while True:
         # what each call knows: the level that its settled dependencies ask for, and its only open one
-        knows = state.groupBy("k").agg(F.max("least").alias("least"), F.count("needs").alias("open"), F.min(F.struct("needs", "far")).alias("one"))
+        knows = state.groupBy("k").agg(F.max("least").alias("least"), F.count("needs").alias("open"), F.min(F.when(F.col("needs").isNotNull(), F.struct("needs", "far"))).alias("one"))
         open_ = int(state.agg(F.count("needs")).first()[0])
         if open_ in (0, before):
             return knows.select("k", F.when(F.col("open") == 0, F.col("least")).alias("level"))
@@ -89,7 +105,8 @@ def levels(edges: DataFrame) -> DataFrame:
             F.when(ready == 0, F.coalesce("least", F.lit(0)) + F.col("far")).when(ready == 1, F.col("least") + F.col("far")).alias("least"),
         )
         rows = moved.unionByName(state.where("needs IS NULL"))
-        settled = rows.groupBy("k").agg(F.max("least").alias("least")).where("least IS NOT NULL").select("k", F.lit(None).cast(edges.schema["needs"].dataType).alias("needs"), F.lit(None).cast("long").alias("far"), "least")
+        nothing = F.lit(None).cast(edges.schema["needs"].dataType)
+        settled = rows.groupBy("k").agg(F.max("least").alias("least")).where("least IS NOT NULL").select("k", nothing.alias("needs"), F.lit(None).cast("long").alias("far"), "least")
         waiting = rows.where("needs IS NOT NULL").groupBy("k", "needs").agg(F.max("far").alias("far")).select("k", "needs", "far", F.lit(None).cast("long").alias("least"))
         after, to = stored(waiting.unionByName(settled), "levels")
         delete(spark, path)
@@ -125,7 +142,7 @@ def link(events: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     # one call and one result for each identifier; partial aggregation collapses a hot identifier in every task
     named = calls.where("call_id IS NOT NULL")
     heads = named.groupBy("k").agg(F.min(F.struct("turn", "mark", "uid", "after")).alias("head"), F.count("*").alias("calls"))
-    heads = store(heads.select("k", F.col("head.uid").alias("head_uid"), F.col("head.after").alias("after"), "calls"), "call-heads")
+    heads = store(heads.select("k", F.col("head.turn").alias("at"), F.col("head.uid").alias("head_uid"), F.col("head.after").alias("after"), "calls"), "call-heads")
     results = (
         e.where("kind = 'result' AND call_id IS NOT NULL")
         .groupBy(key(F.col("call_id")).alias("k"))
@@ -133,8 +150,9 @@ def link(events: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
         .select("k", "r.result_turn", "r.result")
     )
     # an edge for each named dependency that is called
-    edges = heads.select("k", F.explode(F.array_distinct("after")).alias("i")).where("i IS NOT NULL").select("k", F.struct("k.c", "i").alias("needs"))
-    level = levels(edges.hint("merge").join(heads.select(F.col("k").alias("needs")), "needs", "left_semi")).withColumn("ordered", F.lit(True))
+    edges = heads.select("k", "at", F.explode(F.array_distinct("after")).alias("i")).where("i IS NOT NULL").select("k", "at", F.struct("k.c", "i").alias("needs"))
+    called = heads.select(F.col("k").alias("needs"), F.col("at").alias("of"))
+    level = levels(edges.hint("merge").join(called, "needs")).withColumn("ordered", F.lit(True))
     of_id = heads.select("k", "head_uid", "calls").join(level, "k", "left").withColumn("level", F.when(F.col("ordered"), F.col("level")).otherwise(0).cast("int")).drop("ordered")
     linked = join_hot(named, store(of_id.join(results, "k", "left"), "call-results"), "k", "calls")
     status = F.when(F.col("uid") != F.col("head_uid"), "duplicate").when(F.col("level").isNull(), "cycle").otherwise(F.col("checked"))
