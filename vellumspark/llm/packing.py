@@ -34,6 +34,8 @@ UNIT = 8
 END_ID = 2
 #: Chunks of each of the two generations that a Python worker keeps; bounds its memory.
 CACHE = 400_000
+#: Bytes of text that a worker cuts into chunks at a time.
+SLICE = 1 << 22
 #: The knapsack stops pricing at this gain, or after so many columns: the plan stays valid, only less tight.
 GAIN, COLUMNS = 1e-4, 6000
 #: Pieces of a class that are ranked in one task, about.
@@ -150,7 +152,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each."""
     at, size = 0, 0
     for k, x in enumerate(batch.column(1)):
@@ -162,7 +164,7 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBat
         yield batch.slice(at)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, room: int = CACHE, hold: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, room: int = CACHE, hold: bool = True, most: int = SLICE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece, and on demand ids (array<int>).
 
     room, hold: chunks in a generation of a worker's cache, and whether it outlives a task. Less of both takes more CPU
@@ -363,6 +365,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFram
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("_slot", "uid")
 
 
-def contract(docs: DataFrame, path: str | None = None, room: int = CACHE, hold: bool = True) -> DataFrame:
+def contract(docs: DataFrame, path: str | None = None, room: int = CACHE, hold: bool = True, most: int = SLICE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    return pack(store(pieces(docs, path, room=room, hold=hold).withColumn("uid", F.monotonically_increasing_id()), "pieces"))
+    return pack(store(pieces(docs, path, room=room, hold=hold, most=most).withColumn("uid", F.monotonically_increasing_id()), "pieces"))
