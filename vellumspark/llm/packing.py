@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or tokenizer_path(), room).encode
-        for batch in (part for whole in batches for part in _slices(whole)):
+        for batch in (part for whole in batches for part in _slices(whole, most)):
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 raw += struct.pack("<I", END_ID)
