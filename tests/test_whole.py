@@ -49,3 +49,28 @@ def test_every_citation_is_judged(spark):
         5: ("It is.", True),
         6: (None, None),
     }
+
+
+def test_short_passages_are_found(spark):
+    from vellumspark.operators import match
+
+    rows = [(1, "xabcx and more words here"), (2, "ab"), (3, ""), (4, "the alpha beta gamma delta words")]
+    passages = [(1, "abc"), (2, "b"), (3, "alpha beta gamma delta"), (4, "zzz"), (5, ""), (6, "be"), (7, "pha be")]
+    docs, asked = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(passages, "item_id int, text string")
+    got = {tuple(r) for r in match.containing(asked, docs, "item_id", "doc_id").collect()}
+    assert got == {(i, d) for i, p in passages for d, t in rows if p in t}
+
+
+def test_caption_cards_are_whole(spark, tables):
+    from vellumspark.plans import timelines
+
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{tables}/conversations.parquet").collect()}
+    cards = {}
+    for r in sorted(timelines.caption_cards(spark, tables).collect()):
+        cards.setdefault((r["conv_id"], r["turn"]), []).append(r["text"])
+    assert set(cards) == {k for k, t in texts.items() if t.strip()}
+    for key, some in cards.items():
+        assert all(len(c) <= 84 or " " not in c for c in some)
+        assert "".join("".join(some).split()) == "".join(texts[key].split())
+        for a, b in zip(some, some[1:]):  # a card ends at a mark, a comma, or where its next word did not fit
+            assert a[-1] in ".?!:," or len(a) + 1 + len(b.split(" ")[0]) > 84 or len(a) + 1 + len(b) > 84

@@ -45,7 +45,8 @@ def containing(passages: DataFrame, docs: DataFrame, passage: str, doc: str) ->
     """(passage, doc) where a document holds a passage word for word.
 
     Joined on the passage's rarest inner token (its ends may be parts of longer tokens), then verified. A passage of
-    fewer than three tokens is compared with all documents: such passages are a stated, small query set.
+    fewer than three tokens is joined on its first three characters, a shorter one compared with all documents: of texts
+    below three characters there are only as many as pairs of characters, whatever the input.
     """
     tokens = T.tokens(F.col("text"))
     inner = passages.withColumn("t", tokens)
@@ -56,7 +57,13 @@ def containing(passages: DataFrame, docs: DataFrame, passage: str, doc: str) ->
     candidates = have.join(rare, "token").select(passage, "p", doc).join(docs.select(doc, "text"), doc)
     found = candidates.where(F.contains("text", "p")).select(passage, doc)
     few = inner.where(F.size("t") < 3).select(passage, F.col("text").alias("p"))
-    return found.unionByName(docs.join(few, F.contains("text", "p")).select(passage, doc)).distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda k: F.substring(F.col("text"), k, F.lit(3))))
+    short = few.where(F.length("p") >= 3).withColumn("gram", F.left("p", F.lit(3)))
+    at = docs.where(F.length("text") >= 3).select(doc, F.explode(grams).alias("gram")).hint("merge").join(short, "gram")
+    by_gram = at.join(docs.select(doc, "text"), doc).where(F.contains("text", "p")).select(passage, doc)
+    tiny = few.where(F.length("p") < 3)
+    held = docs.join(F.broadcast(tiny.select("p").distinct()), F.contains("text", "p")).select(doc, "p").join(tiny, "p").select(passage, doc)
+    return found.unionByName(by_gram).unionByName(held).distinct()
 
 
 def best_sentence(queries: DataFrame, sentences: DataFrame, share: float = 0.6, least: int = 4) -> DataFrame:

@@ -29,9 +29,11 @@ SELECT item_id, doc_id, score FROM s WHERE score >= 4 QUALIFY row_number() OVER
 def best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-04: for every benchmark passage the document that shares its rarest tokens."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    tokens = M.token_rows(docs, ["doc_id"], "text")
+    wanted = M.token_rows(asked, ["item_id"], "text")
+    # only tokens that are asked for leave their task
+    tokens = M.token_rows(docs, ["doc_id"], "text").join(wanted.select("token").distinct(), "token", "left_semi")
     weights = M.weighted(M.idf(tokens, ["doc_id"], F.lit(docs.count())))
-    scored = M.scores(M.token_rows(asked, ["item_id"], "text"), tokens, "item_id", ["doc_id"], weights).withColumn("score", F.bround("score", 6))
+    scored = M.scores(wanted, tokens, "item_id", ["doc_id"], weights).withColumn("score", F.bround("score", 6))
     return M.best(scored, "item_id", ["doc_id"])
 
 
