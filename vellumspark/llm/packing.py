@@ -83,6 +83,10 @@ class ChunkEncoder:
         latin = "x" + "".join(map(chr, range(0xDF, 0x100))).replace("÷", "")
         same = self._ids(self.tokenizer, [latin])[0] == self._ids(self.bare, [self._mapped(latin)])[0]
         self.mark = alone[0] if len(alone) == 1 and same and self._ids(self.bare, [self._mapped(_MARK)])[0] == alone else None
+        #: Letters, so bytes, of each token without the mark of a word's end: where a chunk's ids end follows from the sums.
+        spelt, end = self.bare.get_vocab(with_added_tokens=False), parts["model"].get("end_of_word_suffix") or ""
+        self.sizes = np.zeros(max(spelt.values(), default=-1) + 1, np.int64)
+        self.sizes[list(spelt.values())] = [len(x.removesuffix(end)) for x in spelt]
 
     def _mapped(self, chunk: str) -> str:
         return chunk.encode().decode("latin-1").translate(self.letters)
@@ -108,17 +112,26 @@ class ChunkEncoder:
         if self.mark is None:
             odd += stems
             stems = set()
-        mapped = ((c, c if c.isascii() else self._mapped(c)) for c in stems)
-        for tokenizer, mark, pairs in ((self.bare, self._mapped(_MARK), list(mapped)), (self.tokenizer, _MARK, [(c, c) for c in plain])):
-            for at in range(0, len(pairs), 20_000):
-                some = pairs[at : at + 20_000]
-                ids = np.array(self._ids(tokenizer, [f" {mark} ".join([x for _, x in some])])[0], np.uint32)
-                cuts = np.flatnonzero(ids == self.mark)
-                if len(cuts) != len(some) - 1:
-                    odd += [c for c, _ in some]
-                    continue
-                raw, edges = ids.astype("<u4").tobytes(), [-4, *(cuts * 4).tolist(), 4 * len(ids)]
-                self.cache.update((c, raw[i + 4 : j]) for (c, _), i, j in zip(some, edges, edges[1:]))
+        stems = list(stems)
+        for at in range(0, len(stems), 20_000):
+            some = stems[at : at + 20_000]
+            mapped = [c if c.isascii() else self._mapped(c) for c in some]
+            ids = np.array(self._ids(self.bare, [" ".join(mapped)])[0], np.int64)
+            sizes, wanted = self.sizes[ids], np.cumsum(np.fromiter(map(len, mapped), np.int64, len(mapped)))
+            reached = np.cumsum(sizes)
+            ends = np.searchsorted(reached, wanted)
+            if not sizes.all() or reached[-1] != wanted[-1] or (reached[ends] != wanted).any():
+                odd += some
+                continue
+            self._keep(some, ids, 4 * (ends + 1), 0)
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self._ids(self.tokenizer, [f" {_MARK} ".join(some)])[0], np.int64)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(some) - 1:
+                odd += some
+                continue
+            self._keep(some, ids, 4 * np.append(cuts, len(ids)), 4)
         for c, ids in zip(odd, self._ids(self.tokenizer, odd) if odd else []):
             self.cache[c] = np.array(ids, "<u4").tobytes()
         for c, stem, tail in latin:
@@ -126,6 +139,11 @@ class ChunkEncoder:
                 ids = self.tails[tail] = np.array(self._ids(self.tokenizer, [tail])[0], "<u4").tobytes()
             self.cache[c] = self.cache[stem] + ids
 
+    def _keep(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Put the ids of chunks that were encoded together into the cache; ``gap`` bytes stand between two of them."""
+        raw, ends = ids.astype("<u4").tobytes(), ends.tolist()
+        self.cache.update(zip(chunks, map(raw.__getitem__, map(slice, [0, *(e + gap for e in ends[:-1])], ends))))
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [x.encode().translate(LOWER).decode().replace("\n", " ").split(" ") for x in batch]
