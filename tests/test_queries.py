@@ -16,7 +16,7 @@ def duck(tables):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) == {"caption_cards"}  # test_whole holds it against a plain version
+    assert set(QUERIES) - set(SQL) == {"caption_cards", "whole_outline"}  # test_whole holds them against plain versions
     assert len(QUERIES) > 100
 
 

@@ -74,3 +74,38 @@ def test_caption_cards_are_whole(spark, tables):
         assert "".join("".join(some).split()) == "".join(texts[key].split())
         for a, b in zip(some, some[1:]):  # a card ends at a mark, a comma, or where its next word did not fit
             assert a[-1] in ".?!:," or len(a) + 1 + len(b.split(" ")[0]) > 84 or len(a) + 1 + len(b) > 84
+
+
+def test_whole_outline(spark, tables):
+    from vellumspark.plans import drafts
+
+    papers = {}
+    for r in sorted(drafts.paper_sections(spark, tables).collect()):
+        papers.setdefault(r["conv_id"], []).append(r)
+    want = []
+    for paper, sections in papers.items():
+        groups = []
+        for s in sections:
+            if s["title"].startswith("0 "):
+                continue
+            base, g = s["title"].removesuffix(" (part 2)"), groups[-1] if groups else None
+            small = g and (base in g["bases"] or g["parent"] == s["parent"] and g["words"] < 150)
+            if small and g["appendix"] == s["appendix"] and g["words"] + s["words"] < 2400:
+                g["words"] += s["words"]
+                g["bases"] += [base] * (base not in g["bases"])
+            else:
+                groups.append({"bases": [base], "parent": s["parent"], "appendix": s["appendix"], "words": s["words"]})
+        chapters = [("paper", "The paper", 4), ("hook", "Intro", 4)]
+        for g in groups:
+            nums, names = zip(*(b.split(" ", 1) for b in g["bases"]))
+            title = " & ".join(names) if "." in nums[0] or len(names) < 2 else names[0] + ": " + " & ".join(names[1:])
+            title = title.title() if title.isupper() else title
+            title = title if len(title) <= 60 else title[:57].rsplit(" ", 1)[0] + "..."
+            n = max(1, min(4, round(g["words"] / 160))) if g["appendix"] else max(2, min(16, round(g["words"] / 55)))
+            chapters.append(("s" + nums[0], title, n))
+        if not any("Limitations" in b for g in groups for b in g["bases"]):
+            chapters.append(("limits", "Limitations", 4))
+        chapters.append(("takeaway", "Takeaway", 4))
+        want += [(paper, k + 1, *c) for k, c in enumerate(chapters)]
+    got = sorted(tuple(r) for r in drafts.whole_outline(spark, tables).collect())
+    assert got == sorted(want) and any(" & " in r[3] or ": " in r[3] for r in got)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import latex as X
 from vellumspark.functions import text as T
+from vellumspark.operators import chapters as C
 from vellumspark.operators import layout as L
 from vellumspark.operators import match as M
 from vellumspark.operators import outline as O
@@ -327,3 +328,40 @@ def caption_narration(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures = talk(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("Figure "), F.col("turn") + 1).alias("label"), F.col("turn").alias("page"), F.lit(1.0).alias("y0"), caption.alias("caption"))
     said = S.narrated_captions(figures, ("conv_id",))
     return said.select("conv_id", (F.regexp_extract("figure", r"(\d+)", 1).cast("long") - 1).alias("turn"), "figure", "text", "pos")
+
+
+_PARTS = ("Our approach", "Related work", "MAIN RESULTS", "Limitations", "Set-up (part 2)")
+_PART_LIST = ", ".join(f"'{n}'" for n in _PARTS)
+
+
+def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as numbered sections, two in three with a number of the second order; the first is front matter."""
+    c, t = F.col("conv_id"), F.col("turn")
+    name = F.element_at(F.array(*(F.lit(n) for n in _PARTS)), ((c * 3 + t) % 5 + 1).cast("int"))
+    num = F.when(t % 3 == 0, F.floor(t / 3).cast("string")).otherwise(F.concat(F.floor(t / 3), F.lit("."), t % 3))
+    return talk(spark, sf_dir).select(
+        "conv_id", "turn", F.concat(num, F.lit(" "), name).alias("title"), F.when(t % 4 >= 2, "Experiments").otherwise("").alias("parent"), (t % 7 == 6).alias("appendix"), (F.length("text") % 300).alias("words")
+    )
+
+
+@BOOK.add(f"""WITH n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(turn // 3 AS VARCHAR) ELSE turn // 3 || '.' || turn % 3 END AS num, list_extract([{_PART_LIST}], CAST((conv_id * 3 + turn) % 5 + 1 AS INTEGER)) AS name,
+ CASE WHEN turn % 4 >= 2 THEN 'Experiments' ELSE '' END AS parent, length(text) % 300 AS w, CAST(turn // 3 AS VARCHAR) AS top FROM conversations WHERE turn % 7 <> 6),
+b AS (SELECT *, CASE WHEN lag(top) OVER (PARTITION BY conv_id ORDER BY turn) = top THEN 0 ELSE 1 END AS new FROM n WHERE num <> '0' AND name NOT IN ('Related work', 'Limitations')),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM b),
+a AS (SELECT conv_id, g, min(top) AS top, arg_min(CASE WHEN parent <> '' THEN parent WHEN name = 'MAIN RESULTS' THEN 'Main Results' WHEN name LIKE 'Set-up%' THEN 'Set-up' ELSE name END, turn) AS title, greatest(sum(w), 1) AS w FROM g GROUP BY ALL),
+t AS (SELECT conv_id, greatest(12, round_even((1 + conv_id % 9) * 130 / 20e0, 0)) AS total FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, greatest(2, round_even(total * 8e-2, 0)) AS paper, greatest(2, round_even(total * 1e-1, 0)) AS hook, greatest(2, round_even(total * 7e-2, 0)) AS takeaway, total FROM t),
+s AS (SELECT conv_id, g, 's' || top AS key, title, greatest(1, least(25, round_even(greatest(count(*) OVER (PARTITION BY conv_id), total - paper - hook - hook - takeaway) * w / sum(w) OVER (PARTITION BY conv_id), 0))) AS n FROM a JOIN f USING (conv_id)),
+u AS (SELECT * FROM s UNION ALL SELECT conv_id, -2, 'paper', 'The paper', paper FROM f UNION ALL SELECT conv_id, -1, 'hook', 'Intro', hook FROM f
+ UNION ALL SELECT conv_id, 1000000, 'limits', 'Limitations', hook FROM f UNION ALL SELECT conv_id, 1000001, 'takeaway', 'Takeaway', takeaway FROM f)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY g) AS INTEGER) AS place, key, title, CAST(n AS INTEGER) AS n FROM u""")
+def summary_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of each conversation as a paper, for one to nine minutes."""
+    minutes = (1 + F.col("conv_id") % 9).cast("double")
+    return C.summary(paper_sections(spark, sf_dir), "conv_id", "turn", minutes, "words")
+
+
+@BOOK.add()
+def whole_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of each conversation as a whole paper; a fold over its sections without SQL."""
+    return C.whole(paper_sections(spark, sf_dir), "conv_id", "turn")

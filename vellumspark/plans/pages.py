@@ -222,3 +222,17 @@ def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = text_lines(spark, sf_dir).where(F.col("line").rlike(r"^[A-Za-z ,.]+$"))
     made = F.when(F.col("r") % 2 == 0, F.concat(F.upper("line"), F.lit(" (part "), F.col("r"), F.lit(")"))).otherwise(F.col("line"))
     return lines.select("doc_id", "r", S.short_title(made).alias("title"))
+
+
+@BOOK.add(f"""WITH {_BOXED_LINES}, g AS (SELECT *, y0 + 10 AS y1, CASE WHEN y0 - lag(y0 + 10) OVER w BETWEEN 0 AND 4.9 THEN 0 ELSE 1 END AS begins FROM b WINDOW w AS (PARTITION BY doc_id, page ORDER BY r)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, page ORDER BY r) AS run FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, run ORDER BY r) AS k FROM n),
+p AS (SELECT a.doc_id, a.r, a.k AS own, c.k, c.x0, c.y0, c.x1, c.y1, abs(c.x0 - a.x0) >= 40 AS aside FROM k a JOIN k c ON c.doc_id = a.doc_id AND c.page = a.page AND c.run = a.run AND c.k BETWEEN a.k - 6 AND a.k + 6),
+m AS (SELECT doc_id, r, coalesce(max(CASE WHEN aside AND k < own THEN k END), -1) AS lo, coalesce(min(CASE WHEN aside AND k > own THEN k END), 1000000000) AS hi FROM p GROUP BY ALL)
+SELECT p.doc_id, CAST(p.r AS INTEGER) AS r, min(x0) AS px0, min(y0) AS py0, max(x1) AS px1, max(y1) AS py1 FROM p JOIN m ON m.doc_id = p.doc_id AND m.r = p.r WHERE k > lo AND k < hi GROUP BY p.doc_id, p.r""")
+def paragraph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAY-11: the box of each line's paragraph; empty lines and lines set aside end one."""
+    r = F.col("r")
+    x0, y0 = F.when(r % 4 == 3, 350.0).otherwise(50.0), F.lit(100.0) + 12 * (r % 50)
+    lines = text_lines(spark, sf_dir).where(F.trim("line") != "")
+    boxes = lines.select("doc_id", F.floor(r / 50).cast("int").alias("page"), "r", x0.alias("x0"), (x0 + F.least(F.lit(320), 5 * F.length("line"))).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"))
+    return L.paragraphs(boxes, ["doc_id", "page"], "r").select("doc_id", "r", "px0", "py0", "px1", "py1")
