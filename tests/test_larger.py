@@ -17,3 +17,7 @@ def check(spark, path, name: str, **made: str) -> None:
 
 def test_claims_of_late_conversations(spark, tmp_path):
     check(spark, tmp_path, "claim_check", conversations="SELECT c.v AS conv_id, t AS turn, 'x' AS text FROM (VALUES (7::BIGINT), (1000), (8999), (9000), (14130), (123456)) c(v), range(12) r(t)")
+
+
+def test_keys_say_no_year(spark, tmp_path):
+    check(spark, tmp_path, "safe_names", part="SELECT v AS p_partkey, 'blue bolt' AS p_name FROM (VALUES (2024::BIGINT), (12024), (20210), (20214), (32023), (2023), (20231), (20243), (8), (9)) p(v)")

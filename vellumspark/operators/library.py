@@ -124,12 +124,14 @@ def queue_plan(items: DataFrame) -> DataFrame:
     return items.select("playlist", "place", "title", action.alias("action"), reason.alias("reason"))
 
 
-def safe_name(title: Column, venue: Column, year: Column, limit: int = 90) -> Column:
-    """A file stem ``Title (Venue Year)`` of at most ``limit`` characters; the tail stays whole where the title is cut."""
+def safe_name(title: Column, venue: Column, year: Column, limit: int = 90, said: Column | None = None) -> Column:
+    """A file stem ``Title (Venue Year)`` of at most ``limit`` characters; the tail stays whole where the title is cut.
+    Venue and year are left out where ``said`` (the title, if not given) has them: digits of a key in it say no year."""
     squeeze = lambda c, d: F.trim(F.regexp_replace(F.coalesce(F.nullif(c, F.lit("")), F.lit(d)), r"\s+", " "))
     t, v, y = squeeze(title, "Untitled"), squeeze(venue, ""), F.coalesce(year.cast("string"), F.lit(""))
-    v = F.when((v != "") & F.contains(t, v), "").otherwise(v)
-    y = F.when((y != "") & (F.contains(t, y) | F.contains(v, y)), "").otherwise(y)
+    has = t if said is None else squeeze(said, "")
+    v = F.when((v != "") & F.contains(has, v), "").otherwise(v)
+    y = F.when((y != "") & (F.contains(has, y) | F.contains(v, y)), "").otherwise(y)
     tail = F.when((v != "") | (y != ""), F.concat(F.lit("("), v, F.when((v != "") & (y != ""), " ").otherwise(""), y, F.lit(")"))).otherwise("")
     raw = F.trim(F.concat(t, F.lit(" "), tail))
     stem = F.regexp_replace(F.replace(F.regexp_replace(raw, r'[/\\:*?"<>|\x00-\x1f]', ""), F.lit(" - "), F.lit(" ")), r"[ .]+$", "")
