@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 from tests import compare
+from vellumspark.operators import library
 from vellumspark.plans import catalogue
 
 
@@ -34,3 +35,16 @@ def test_halves_as_doubles_tell(spark, tmp_path):
             much[-1 - k] += "."
         rows.append(f"({doc}, '{' '.join(much)}')")
     check(spark, tmp_path, "flagship", documents=f"SELECT d::BIGINT AS doc_id, t AS text FROM (VALUES {', '.join(rows)}) v(d, t)")
+
+
+def test_pairs_of_one_paper_are_never_exchanged(spark):
+    papers = [(p, f"i{(p * k) % 5}" if p % 3 else "", f"T {(p + k) % 4}" if p % 2 else None) for p in range(40) for k in range(3)] + [(None, "i1", "T 1"), (99, "", "")]
+    jobs = [(j, f"i{(j + k) % 7}" if j % 4 else None, f"t-{(j * k) % 6}") for j in range(50) for k in range(2)] + [(None, "i1", ""), (98, "", "?")]
+    alike = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+    want = {(p, j) for p, i, t in papers for j, x, y in jobs if (i and i == x) or (alike(t) and alike(t) == alike(y))}
+    made = lambda rows, who: spark.createDataFrame(rows, f"{who} int, preprint string, title string")
+    found = library.same_paper(made(papers, "paper"), made(jobs, "job"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan.split("Aggregate")[0]  # nothing aggregates pairs

@@ -94,13 +94,29 @@ def playlist_totals(items: DataFrame, by: str) -> DataFrame:
     return sums.join(states, by)
 
 
+#: Parts into which the jobs of one key are dealt, so that a common key is not one task.
+SHARES = 16
+
+
 def same_paper(papers: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(paper, job) of jobs with a paper's identifier or (letters and digits) title: an OR as two equi joins."""
-    a = papers.withColumn("t", T.squash(F.col("title")))
-    b = jobs.withColumn("t", T.squash(F.col("title")))
-    by_id = a.where("preprint <> ''").join(b.select("job", "preprint"), "preprint").select("paper", "job")
-    by_title = a.where("t <> ''").join(b.select("job", "t"), "t").select("paper", "job")
-    return by_id.unionByName(by_title).distinct()
+    """(paper, job) of jobs with a paper's identifier or (letters and digits) title: an OR as one equi join of keys.
+
+    A pair that shares several keys is kept at the least of them, so pairs need no exchange to be distinct. At the first
+    key of either side that is settled; the keys themselves are compared at the others only.
+    """
+
+    def keyed(rows: DataFrame, who: str, side: str) -> DataFrame:
+        of = lambda c, kind: F.when(c != "", F.concat(F.lit(kind), c))
+        each = rows.select(who, F.explode(F.array(of(F.col("preprint"), "i"), of(T.squash(F.col("title")), "t"))).alias("k")).where("k IS NOT NULL")
+        sets = each.groupBy(who).agg(F.array_sort(F.collect_set("k")).alias("keys"))
+        out = sets.select(who, "keys", F.posexplode("keys").alias("at", "k"))
+        return out.select(who, "k", F.when(F.col("at") > 0, F.col("keys")).alias(side))
+
+    share = F.pmod(F.xxhash64("job"), F.lit(SHARES))
+    a = keyed(papers, "paper", "a").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    met = keyed(jobs, "job", "b").withColumn("share", share).hint("merge").join(a, ["k", "share"])
+    least = F.col("a").isNull() | F.col("b").isNull() | (F.col("k") == F.array_min(F.array_intersect("a", "b")))
+    return met.where(least).select("paper", "job")
 
 
 def reusable(pairs: DataFrame, jobs: DataFrame, depth: Column) -> DataFrame:
