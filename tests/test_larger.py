@@ -7,7 +7,7 @@ import hashlib
 import duckdb
 
 from tests import compare
-from vellumspark.operators import library, metrics
+from vellumspark.operators import library, match, metrics
 from vellumspark.plans import catalogue
 
 
@@ -76,3 +76,14 @@ def test_a_set_does_not_travel_with_each_of_its_pairs(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 435
     assert all(abs(r["similarity"] - len(sets[r["a"]] & sets[r["b"]]) / len(sets[r["a"]] | sets[r["b"]])) < 1e-12 for r in got)
     assert shuffled(spark) - before < 8_000_000
+
+
+def test_only_asked_tokens_and_characters_leave_a_task(spark, monkeypatch):
+    monkeypatch.setattr(match, "SLOTS", 1 << 10, raising=False)
+    word = lambda k: "".join(chr(97 + int(c, 16)) for c in hashlib.sha1(str(k).encode()).hexdigest()[:9])
+    rows = [(d, " ".join(word(d * 1000 + k) for k in range(1000))) for d in range(60)]
+    passages = [(d, " ".join(word(d * 1000 + k) for k in range(500, 506))) for d in range(0, 60, 7)] + [(100, "no such passage here at all")]
+    docs, asked = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(passages, "item_id int, text string")
+    before = shuffled(spark)
+    assert {tuple(r) for r in match.containing(asked, docs, "item_id", "doc_id").collect()} == {(d, d) for d in range(0, 60, 7)}
+    assert shuffled(spark) - before < 1_500_000

@@ -41,25 +41,46 @@ def best(scored: DataFrame, query: str, line: list[str], least: float = LEAST_SC
     return top.select(query, *(F.col(f"b.{c}").alias(c) for c in line), (-F.col("b.k")).alias("score")).where(F.col("score") >= least)
 
 
+#: Slots of the table of asked tokens that every task gets: a constant, whatever the passages.
+SLOTS = 1 << 18
+
+
+def _slot(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+
+
+def _with_slots(rows: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """Rows with ``name``: an array that tells of each slot whether a text of ``asked`` (its one column) falls there; null
+    if nothing is asked."""
+    hit = asked.select(_slot(F.col(asked.columns[0])).cast("long").alias("id")).distinct().withColumn("hit", F.lit(True))
+    every = asked.sparkSession.range(SLOTS).join(hit, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
+    table = every.agg(F.sort_array(F.collect_list(F.struct("id", "hit"))).alias("t"), F.max("hit").alias("any")).select(F.when(F.col("any"), F.col("t.hit")).alias(name))
+    return rows.crossJoin(F.broadcast(table))
+
+
 def containing(passages: DataFrame, docs: DataFrame, passage: str, doc: str) -> DataFrame:
     """(passage, doc) where a document holds a passage word for word.
 
     Joined on the passage's rarest inner token (its ends may be parts of longer tokens), then verified. A passage of
     fewer than three tokens is joined on its first three characters, a shorter one compared with all documents: of texts
-    below three characters there are only as many as pairs of characters, whatever the input.
+    below three characters there are only as many as pairs of characters, whatever the input. Tokens and characters of
+    documents leave their task only where a slot of constant tables is asked for, and none are cut if nothing is.
     """
+    asked = lambda c, name: F.filter(c, lambda w: F.get(F.col(name), _slot(w)))
     tokens = T.tokens(F.col("text"))
     inner = passages.withColumn("t", tokens)
     keyed = inner.where(F.size("t") >= 3).select(passage, F.col("text").alias("p"), F.explode(F.array_distinct(F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0))))).alias("token"))
-    have = token_rows(docs, [doc], "text")
+    met = _with_slots(docs.select(doc, "text"), keyed.select("token"), "slots").where("slots IS NOT NULL")
+    have = met.select(doc, F.explode(F.array_distinct(asked(tokens, "slots"))).alias("token"))
     frequency = have.join(keyed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     rare = keyed.join(frequency, "token").groupBy(passage).agg(F.min(F.struct("df", "token", "p")).alias("r")).select(passage, "r.token", "r.p")
     candidates = have.join(rare, "token").select(passage, "p", doc).join(docs.select(doc, "text"), doc)
     found = candidates.where(F.contains("text", "p")).select(passage, doc)
     few = inner.where(F.size("t") < 3).select(passage, F.col("text").alias("p"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda k: F.substring(F.col("text"), k, F.lit(3))))
+    grams = F.array_distinct(asked(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda k: F.substring(F.col("text"), k, F.lit(3))), "slots"))
     short = few.where(F.length("p") >= 3).withColumn("gram", F.left("p", F.lit(3)))
-    at = docs.where(F.length("text") >= 3).select(doc, F.explode(grams).alias("gram")).hint("merge").join(short, "gram")
+    long = _with_slots(docs.where(F.length("text") >= 3).select(doc, "text"), short.select("gram"), "slots").where("slots IS NOT NULL")
+    at = long.select(doc, F.explode(grams).alias("gram")).hint("merge").join(short, "gram")
     by_gram = at.join(docs.select(doc, "text"), doc).where(F.contains("text", "p")).select(passage, doc)
     tiny = few.where(F.length("p") < 3)
     held = docs.join(F.broadcast(tiny.select("p").distinct()), F.contains("text", "p")).select(doc, "p").join(tiny, "p").select(passage, doc)
